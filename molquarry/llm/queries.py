@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm import packing, quality, tokens
+from molquarry.llm import neighbours, packing, quality, tokens
 from molquarry.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.mutual_pairs(read_table(spark, sf_dir, "component_vectors"))
+
+
+@query
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(read_table(spark, sf_dir, "component_vectors"))
+
+
+@query
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.recall(read_table(spark, sf_dir, "component_vectors"))
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(read_table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm import neighbours, packing, quality, tokens
+from molquarry.llm import neighbours, packing, quality, splits, tokens
 from molquarry.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,30 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.recall(read_table(spark, sf_dir, "component_vectors"))
 
 
+REACTION = ["ligand", "additive", "base", "aryl_halide"]
+ENTITY = ["ligand", "additive"]
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.cross_split_pairs(read_table(spark, sf_dir, "dreher_dataset"), REACTION)
+
+
+@query
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.overlap_report(read_table(spark, sf_dir, "dreher_dataset"), REACTION)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.torn_entities(read_table(spark, sf_dir, "dreher_dataset"), ENTITY)
+
+
+@query
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(read_table(spark, sf_dir, "dreher_dataset"), ENTITY, read_table(spark, sf_dir, "split_targets"))
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(read_table(spark, sf_dir, "documents"))

@@ -37,7 +37,7 @@ MISSING = ("", "NA", "nan", "ValueNotFound")
 
 def normalised(column: str) -> Column:
     """The value without blanks at its ends, null where it is missing."""
-    trimmed = F.regexp_replace(F.col(column), r"^[ \t]+|[ \t]+$", "")
+    trimmed = F.btrim(F.col(column), F.lit(" \t"))
     return F.when(~trimmed.isin(*MISSING), trimmed)
 
 

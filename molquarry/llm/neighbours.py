@@ -229,6 +229,13 @@ def rerank(keys: np.ndarray, x: np.ndarray, role: np.ndarray, group: np.ndarray,
     copy = _copies(x)
     rank = _rank_in_copies(copy, keys)
     keep = rank <= k
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if not keep.all():
+        # further copies that other batches kept: their neighbours are the first k of their copies
+        late = np.flatnonzero(~keep & ((role & 1) > 0))
+        order = np.lexsort((keys, copy))
+        first = order[np.searchsorted(copy[order], copy[late])[:, None] + np.arange(k)[None, :]]
+        out.append((np.repeat(keys[late], k), keys[first].ravel(), np.ones(k * len(late))))
     keys, x, role, group, cell, copy, rank = (v[keep] for v in (keys, x, role, group, cell, copy, rank))
     order = np.lexsort((keys, copy))
     keys, x, role, group, cell = (v[order] for v in (keys, x, role, group, cell))
@@ -236,7 +243,6 @@ def rerank(keys: np.ndarray, x: np.ndarray, role: np.ndarray, group: np.ndarray,
     count = np.diff(np.append(start, len(keys)))
     one, cells, asked = x[start], cell[start], (role[start] & 2) > 0
     queries, take = (role[start] & 1) > 0, k + 3
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for g in np.unique(group[start][queries]).tolist():
         mine = np.flatnonzero(queries & (group[start] == g))
         pool = np.flatnonzero(asked & index.route(g)[cells])
@@ -363,17 +369,20 @@ def neighbours(df: DataFrame, key: str = "vec_id", field: str = "field_name", ve
         routed = rows.mapInArrow(route, "region int, role byte, grp int, cell int, key bigint, x binary")
         found = routed.where("role > 0").groupBy("region").applyInArrow(search, "key bigint, field string, neighbour bigint, cosine double")
         if surplus:
-            extra = routed.where("role = 0").select("region", "key", F.xxhash64("x").alias("h"), F.md5("x").alias("m"))
+            number = F.lit(0)
+            for low in base[:-1].tolist():
+                number = number + (F.col("region") >= low).cast("int")
+            named = F.element_at(F.array(*(F.lit(n) for n in names)), number).alias("field")
+            marked = routed.select("role", named, "key", F.xxhash64("x").alias("h"), F.md5("x").alias("m"))
+            extra, by = marked.where("role = 0").select("field", "key", "h", "m"), ["field", "h", "m"]
             # the k smallest keys of each group of copies, of what the batches kept; no row of a
             # large group passes its batch but those
             first = (
-                routed.where("role > 0 AND (role & 1) = 1")
-                .select(F.lit(0).alias("z"), "key", F.xxhash64("x").alias("h"), F.md5("x").alias("m"))
-                .join(extra.select("h", "m").distinct(), ["h", "m"], "left_semi")
-                .groupBy("h", "m").agg(F.slice(F.array_sort(F.collect_set("key")), 1, k).alias("near"))
+                marked.where("role > 0 AND (role & 1) = 1")
+                .join(extra.select(*by).distinct(), by, "left_semi")
+                .groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("key")), 1, k).alias("near"))
             )
-            named = F.element_at(F.create_map(*(v for i, n in enumerate(names) for v in (F.lit(int(base[i])), F.lit(n)))), F.col("region"))
-            added = extra.join(first, ["h", "m"]).select("key", named.alias("field"), F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
+            added = extra.join(first, by).select("key", "field", F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
             found = found.unionByName(added)
     return found.select(F.col("key").alias(key), F.col("field").alias(field), "neighbour", "cosine")
 

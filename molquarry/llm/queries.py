@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm import neighbours, packing, quality, splits, tokens
+from molquarry.llm import clusters, neighbours, packing, quality, splits, subset, tokens
 from molquarry.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.recall(read_table(spark, sf_dir, "component_vectors"))
 
 
+@query
+def p3_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.select_varied(read_table(spark, sf_dir, "dreher_dataset"), read_table(spark, sf_dir, "subset_requests"), ["additive", "aryl_halide"])
+
+
 REACTION = ["ligand", "additive", "base", "aryl_halide"]
 ENTITY = ["ligand", "additive"]
 
@@ -57,6 +62,16 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(read_table(spark, sf_dir, "dreher_dataset"), ENTITY, read_table(spark, sf_dir, "split_targets"))
 
 
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_members(read_table(spark, sf_dir, "dreher_dataset"), ENTITY)
+
+
+@query
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_table(read_table(spark, sf_dir, "dreher_dataset"), ENTITY)
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(read_table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ RANGE = 1 << 30
 
 
 def split_name(column: str) -> Column:
-    return F.lower(F.regexp_replace(F.col(column), r"^[ \t]+|[ \t]+$", ""))
+    return F.lower(F.btrim(F.col(column), F.lit(" \t")))
 
 
 def classed(df: DataFrame, fields: list[str], keep: list[str | Column]) -> DataFrame:

@@ -4,7 +4,7 @@ Index. On a bounded sample of each field (SAMPLE vectors, by a hash of the key)
 for the two halves of the normalised vectors; a cell is a pair of centroids. Vectors near one
 another as wholes form query groups. From each group's centre the centroid pairs are traversed in
 the order of summed distance with a heap, until the cells hold about `candidates` vectors; these
-are the group's candidates. Codewords that hold much of the sample are split again, so a crowd of
+are the group's candidates, with the group itself and the cells of its members. Codewords that hold much of the sample are split again, so a crowd of
 similar vectors gets more cells and groups instead of one large one.
 
 Search. Groups near one another form regions of about `region_rows` queries. One pass routes every
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 16_384
-CANDIDATES = 12_000
+CANDIDATES = 20_000
 REGION_ROWS = 49_152
 #: k-means rounds; share of the sample that no codeword may exceed unless its vectors are equal
 ROUNDS = 6
@@ -245,9 +245,10 @@ def rerank(keys: np.ndarray, x: np.ndarray, role: np.ndarray, group: np.ndarray,
     queries, take = (role[start] & 1) > 0, k + 3
     for g in np.unique(group[start][queries]).tolist():
         mine = np.flatnonzero(queries & (group[start] == g))
-        pool = np.flatnonzero(asked & index.route(g)[cells])
-        if not len(pool):
-            pool = mine
+        # the group itself and the cells that its queries fell into are candidates wherever they lie
+        inside = np.zeros(index.cells, bool)
+        inside[cells[mine]] = True
+        pool = np.flatnonzero((asked & index.route(g)[cells]) | (group[start] == g) | inside[cells])
         place = np.full(len(start), -1, np.int64)
         place[pool] = np.arange(len(pool))
         step = max(1, BLOCK // len(pool))
@@ -353,21 +354,30 @@ def neighbours(df: DataFrame, key: str = "vec_id", field: str = "field_name", ve
                     ["region", "role", "grp", "cell", "key", "x"],
                 )
 
-    def search(table: pa.Table) -> pa.Table:
-        region = table["region"][0].as_py()
+    def search(table: pa.Table, region: int) -> pa.RecordBatch:
         number = int(np.searchsorted(base, region, side="right")) - 1
         x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, width)
         value = lambda c: table[c].to_numpy().astype(np.int64)
         a, b, cosine = rerank(value("key"), x, value("role"), value("grp"), value("cell"), shared.value[names[number]], k)
         if least is not None:
             a, b, cosine = (v[cosine >= least] for v in (a, b, cosine))
-        return pa.table({"key": pa.array(a, pa.int64()), "field": pa.array([names[number]] * len(a), pa.string()), "neighbour": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([names[number]] * len(a), pa.string()), pa.array(b, pa.int64()), pa.array(cosine, pa.float64())], ["key", "field", "neighbour", "cosine"])
+
+    def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds one region (a session that merges partitions may give it several)."""
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            for region in sorted(pc.unique(table["region"]).to_pylist()):
+                yield search(table.filter(pc.equal(table["region"], region)), region)
 
     if not names:
         found = spark.createDataFrame([], "key bigint, field string, neighbour bigint, cosine double")
     else:
         routed = rows.mapInArrow(route, "region int, role byte, grp int, cell int, key bigint, x binary")
-        found = routed.where("role > 0").groupBy("region").applyInArrow(search, "key bigint, field string, neighbour bigint, cosine double")
+        # the region is the partition: no two regions share a task by a clash of hashes
+        dealt = routed.where("role > 0").repartitionById(int(base[-1]), F.col("region"))
+        found = dealt.mapInArrow(search_all, "key bigint, field string, neighbour bigint, cosine double")
         if surplus:
             number = F.lit(0)
             for low in base[:-1].tolist():

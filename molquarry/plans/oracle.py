@@ -63,7 +63,33 @@ def fingerprint(column: str, n_bits: int, gram: int) -> str:
     return f"array_to_string(list_transform(range({n_bits}), lambda b: list_contains({g}, b)::INT), '')"
 
 
+BRACKET = r"\[[0-9]*(?:[A-Z][a-z]?|[bcnops])@{0,2}(?:H[0-9]?)?(?:[+-][0-9]?)?\]"
+ATOMS = rf"(?:{BRACKET}|Cl|Br|[BCNOPSFIbcnops]|[-=#:/\\.]|[()]|%[0-9][0-9]|[0-9])+"
+
+
+def invalid(value: str, optional: bool) -> str:
+    """Whether a field's trimmed value is missing (unless it may be) or no well-formed compound."""
+    bare = f"regexp_replace({value}, '{BRACKET}', 'X', 'g')"
+    turns = f"list_transform(string_split(regexp_replace({bare}, '[^()]', '', 'g'), ''), lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)"
+    depth = f"list_min(list_transform(range(1, len({turns}) + 1), lambda i: list_sum(({turns})[1:i])))"
+    rings = f"regexp_extract_all({bare}, '%[0-9][0-9]|[0-9]')"
+    even = f"len(list_filter({rings}, lambda x: len(list_filter({rings}, lambda y: y = x)) % 2 = 1)) = 0"
+    sound = f"(regexp_full_match({value}, '{ATOMS}') AND NOT contains({bare}, '()') AND coalesce(list_sum({turns}), 0) = 0 AND coalesce({depth}, 0) >= 0 AND {even})"
+    missing = f"{value} IN ('', 'NA', 'nan', 'ValueNotFound')"
+    return f"(NOT {missing} AND NOT {sound})" if optional else f"({missing} OR NOT {sound})"
+
+
+P1_FOUND = f"""
+WITH l AS (SELECT line_id, CASE WHEN ends_with(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS x FROM dreher_raw WHERE line_no > 1),
+q AS (SELECT line_id, x, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS quoted FROM l),
+f AS (SELECT line_id, quoted, CASE WHEN quoted THEN regexp_extract_all(x || ',', '(?s)("(?:[^"]|"")*"|[^",]*),', 1) ELSE [] END AS raw FROM q),
+v AS (SELECT line_id, quoted, len(raw) AS n, list_transform(raw, lambda r: trim(CASE WHEN starts_with(r, '"') THEN replace(r[2:-2], '""', '"') ELSE r END, ' ' || chr(9))) AS t FROM f),
+r AS (SELECT line_id, CASE WHEN quoted IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 5 THEN 'columns' WHEN {" OR ".join(invalid(f"t[{i}]", i == 2) for i in (1, 2, 3, 4))} THEN 'value' END AS reason FROM v)
+SELECT line_id, reason FROM r WHERE reason IS NOT NULL
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": P1_FOUND,
     "table_shapes": "SELECT 'region' AS name, count(*) AS n_rows, 2 AS n_columns FROM region UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'part', count(*), 6 FROM part",
     "file_row_counts": "SELECT count(*) AS n_rows FROM dreher_raw",
     "null_sentinels": "SELECT row_id, " + ", ".join(f"CASE WHEN {VALID.format(c)} THEN {c} END AS {c}" for c in ("ligand", "additive", "base", "aryl_halide")) + " FROM dreher_dataset",

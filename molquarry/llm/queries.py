@@ -96,4 +96,15 @@ def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_found": r"""
+WITH c AS (SELECT doc_id, l FROM (SELECT doc_id, trim(l, ' ' || chr(9) || chr(13)) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))
+  WHERE l <> '' AND NOT regexp_full_match(l, '[0-9]+') AND NOT contains(l, '-->')),
+e AS (SELECT doc_id, avg((right(l, 1) IN ('.', '!', '?', '…'))::INT) AS ended FROM c GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(regexp_extract_all(l, '[^ \t\r\n]+')) AS w FROM c),
+s AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars, sum(length(regexp_replace(w, '[\p{L}0-9]', '', 'g'))) AS symbols,
+  avg((regexp_replace(lower(w), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') IN (SELECT word FROM common_words))::INT) AS common FROM w GROUP BY doc_id)
+SELECT doc_id FROM s JOIN e USING (doc_id) WHERE n >= 5
+  AND (symbols / chars > 0.22)::INT + (common < 0.15)::INT + (ended < 0.25)::INT + (chars / n < 2.8 OR chars / n > 8.0)::INT >= 2
+""",
+}

@@ -30,7 +30,7 @@ SHARD_VALUES = 4_000
 #: text hits counted at once
 HITS = 4_000_000
 #: class tables of at most so many rows (16 bytes each) are broadcast, larger ones are joined
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: fixed values: the strings that mean a missing component
 MISSING = ("", "NA", "nan", "ValueNotFound")
 

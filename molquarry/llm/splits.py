@@ -21,17 +21,20 @@ def split_name(column: str) -> Column:
     return F.lower(F.btrim(F.col(column), F.lit(" \t")))
 
 
-def classed(df: DataFrame, fields: list[str], keep: list[str | Column]) -> DataFrame:
+def classed(df: DataFrame, fields: list[str], keep: list[str | Column], spelled: bool = False) -> DataFrame:
     """The columns keep with <field>_class of each field. Values leave the rows as 64-bit ids in the
-    first projection, so no text is shuffled."""
+    first projection, so no text is shuffled. spelled: also the array `exact` of those ids."""
     classes = compounds.compound_classes(df, fields)
     rows = df.select(*keep, *(compounds.value_id(f, compounds.normalised(f)).alias(f"{f}_id") for f in fields))
-    return compounds.with_classes(rows, classes, fields).drop(*(f"{f}_id" for f in fields))
+    out = compounds.with_classes(rows, classes, fields)
+    if spelled:
+        out = out.withColumn("exact", F.array(*(f"{f}_id" for f in fields)))
+    return out.drop(*(f"{f}_id" for f in fields))
 
 
-def overlap_key(df: DataFrame, fields: list[str], keep: list[str | Column]) -> DataFrame:
+def overlap_key(df: DataFrame, fields: list[str], keep: list[str | Column], spelled: bool = False) -> DataFrame:
     """keep and `same`: one array of classes for records whose fields are all present."""
-    rows = classed(df, fields, keep)
+    rows = classed(df, fields, keep, spelled)
     whole = rows.where(" AND ".join(f"{f}_class IS NOT NULL" for f in fields))
     return whole.withColumn("same", F.array(*(f"{f}_class" for f in fields))).drop(*(f"{f}_class" for f in fields))
 
@@ -49,16 +52,19 @@ def cross_split_pairs(df: DataFrame, fields: list[str], key: str = "row_id", spl
 
 
 def overlap_report(df: DataFrame, fields: list[str], source: str = "sheet_name", key: str = "row_id", split: str = "split_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
-    """(split, source, records, overlapping, train_records, pairs) for each held-out split and source:
-    counts by class meet, never pairs."""
-    rows = overlap_key(df, fields, [key, split_name(split).alias("split"), F.col(source).alias("source")])
-    learned = rows.where(F.col("split") == train).groupBy("same").agg(F.count("*").alias("n"))
-    tested = rows.where(F.col("split").isin(*held)).groupBy("same", "split", "source").agg(F.count("*").alias("m"))
-    met = tested.join(learned, "same", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """(split, source, records, overlapping, exact, pairs) for each held-out split and source: records
+    that overlap with training, those of them that do so in equal spelling, and the pairs. Counts by
+    spelling and class meet, never pairs."""
+    rows = overlap_key(df, fields, [key, split_name(split).alias("split"), F.col(source).alias("source")], spelled=True)
+    spelled = rows.where(F.col("split") == train).groupBy("same", "exact").agg(F.count("*").alias("n"))
+    learned = spelled.groupBy("same").agg(F.sum("n").alias("n"))
+    tested = rows.where(F.col("split").isin(*held)).groupBy("same", "exact", "split", "source").agg(F.count("*").alias("m"))
+    met = tested.join(spelled.select("same", "exact", F.lit(True).alias("hit")), ["same", "exact"], "left").join(learned, "same", "left")
     return met.groupBy("split", F.col("source").alias(source)).agg(
         F.sum("m").alias("records"),
         F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("overlapping"),
-        F.sum(F.col("n") * F.col("m")).alias("pairs"),
+        F.sum(F.when(F.col("hit"), F.col("m")).otherwise(0)).alias("exact"),
+        F.sum(F.coalesce("n", F.lit(0)) * F.col("m")).alias("pairs"),
     )
 
 

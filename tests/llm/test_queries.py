@@ -10,7 +10,7 @@ COLUMNS = {
     "p2_neighbours": {"vec_id", "field_name", "neighbour", "cosine"},
     "p3_subset": {"request_id", "field_name", "rank", "value"},
     "p4_found": {"row_id_a", "row_id_b"},
-    "p4_report": {"split", "sheet_name", "records", "overlapping", "pairs"},
+    "p4_report": {"split", "sheet_name", "records", "overlapping", "exact", "pairs"},
     "p5_found": {"entity_row_id"},
     "p5_splits": {"row_id", "component", "assigned_split"},
     "p6_found": {"cluster_row_id", "row_id"},

@@ -61,6 +61,11 @@ def test_pairs_match_brute_force(table):
     assert len(got) == len(set(got)) and set(got) == want
     report = splits.overlap_report(df, FIELDS).collect()
     assert sum(r["pairs"] for r in report) == len(want)
+    learned = [(k, tuple(ref.value(r[f]) for f in FIELDS)) for r, k in zip(rows, keys) if k and ref.split(r["split_name"]) == "train"]
+    held = [(k, tuple(ref.value(r[f]) for f in FIELDS)) for r, k in zip(rows, keys) if k and ref.split(r["split_name"]) in ("valid", "test")]
+    assert sum(r["records"] for r in report) == len(held)
+    assert sum(r["overlapping"] for r in report) == sum(k in {x for x, _ in learned} for k, _ in held)
+    assert sum(r["exact"] for r in report) == sum(v in {x for _, x in learned} for _, v in held)
 
 
 def test_two_field_overlaps_are_many(table):

@@ -42,9 +42,10 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the edges (a, b)."""
-    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    ends = cut(ends.distinct())  # what made the edges runs once
+    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = ends.where("u <> v")
     before = None
     for _ in range(MAX_ROUNDS):
         links = cut(small_star(large_star(links)))

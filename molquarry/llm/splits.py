@@ -72,7 +72,9 @@ def torn_entities(df: DataFrame, fields: list[str], key: str = "row_id", split:
     """(entity_<key>): entities (records of one class in every field) that stand in two or more splits."""
     rows = classed(df, fields, [key, split_name(split).alias("split")])
     whole = rows.where("split IS NOT NULL AND " + " AND ".join(f"{f}_class IS NOT NULL" for f in fields))
-    entity = whole.groupBy(*(f"{f}_class" for f in fields)).agg(F.min("split").alias("low"), F.max("split").alias("high"), F.min(key).alias(f"entity_{key}"))
+    # hashes of the names: the least of a text would need a sort
+    named = F.xxhash64("split")
+    entity = whole.groupBy(*(f"{f}_class" for f in fields)).agg(F.min(named).alias("low"), F.max(named).alias("high"), F.min(key).alias(f"entity_{key}"))
     return entity.where("low <> high").select(f"entity_{key}")
 
 

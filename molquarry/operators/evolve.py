@@ -262,3 +262,15 @@ def population_frame(spark, step: int, people: list[Genome]) -> DataFrame:
 def best_members(population: DataFrame, n: int) -> DataFrame:
     ranked = population.select("member", "fitness").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.desc("fitness"), "member")))
     return ranked.where(F.col("r") <= n).drop("r")
+
+
+def load_patterns(spark, path: str) -> list[str]:
+    """The first column of a CSV without header, in file order (a genome is a small list)."""
+    return [r[0] for r in spark.read.csv(path).select("_c0").collect() if r[0]]
+
+
+def encode_genome(df: DataFrame, column: str, genome: Genome, match: bool = True, name: str = "features") -> DataFrame:
+    """df with one number for each gene: whether, or how often, its text occurs."""
+    from molquarry.operators.encoders import pattern_counts
+
+    return pattern_counts(df, column, genome.texts(), match, name)

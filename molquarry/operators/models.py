@@ -90,3 +90,37 @@ class Checkpoints:
     def newest(self, spark) -> tuple[dict, DataFrame] | None:
         held = self.entries()
         return (held[-1], spark.read.parquet(str(self.folder / held[-1]["name"]))) if held else None
+
+
+def train_in_batches(step, batches, epochs: int, checkpoints: Checkpoints, state: DataFrame, every: int = 1):
+    """A resumable loop: step(state, batch) gives the next state (a frame). After every `every` steps the
+    state is saved; a run that finds one goes on at the batch after it. Returns the last state."""
+    spark = state.sparkSession
+    found = checkpoints.newest(spark)
+    at = -1
+    if found:
+        at, state = found[0]["meta"]["step"], found[1]
+    for epoch in range(epochs):
+        for number, batch in enumerate(batches):
+            place = epoch * len(batches) + number
+            if place <= at:
+                continue
+            state = step(state, batch)
+            if (place + 1) % every == 0:
+                checkpoints.save(f"step_{place}", state, step=place, epoch=epoch, batch=number)
+                state = checkpoints.newest(spark)[1]
+    return state
+
+
+def fitted_pipeline(df: DataFrame, steps: list, train: DataFrame | None = None) -> tuple[DataFrame, list]:
+    """Apply steps in order: a function of a frame, or an encoder class with arguments, (cls, args...),
+    that is fit on the training rows only. Gives the frame and the fitted steps."""
+    train = df if train is None else train
+    done = []
+    for step in steps:
+        if isinstance(step, tuple):
+            step = step[0].fit(train, *step[1:])
+        apply = step.transform if hasattr(step, "transform") else step
+        df, train = apply(df), apply(train)
+        done.append(step)
+    return df, done

@@ -70,3 +70,10 @@ def batches(df: DataFrame, size: int, skip: int = 0, row_id: str = "row_id") ->
 
 def is_ascending(positions: list[int]) -> bool:
     return all(a < b for a, b in zip(positions, positions[1:]))
+
+
+def split_frames(df: DataFrame, split: DataFrame, row_id: str = "row_id") -> dict[int, dict[str, DataFrame]]:
+    """For each split number the training and test rows of df; split is the frame of by_shuffle."""
+    numbers = sorted(r[0] for r in split.select("split").distinct().collect())
+    part = lambda k, role: df.join(split.where((F.col("split") == k) & (F.col("role") == role)).select(row_id), row_id, "left_semi")
+    return {k: {role: part(k, role) for role in ("train", "test")} for k in numbers}

@@ -237,3 +237,61 @@ def test_stream_appends(spark, tiny, tmp_path):
     stream = encode.read_stream(spark, f"{tiny}/events.parquet*", schema)
     encode.run_once(encoders.pattern_counts(stream, "event_type", ["i", "e"]).select("event_id", "features"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{tiny}/events.parquet").count()
+
+
+def test_fingerprints(spark):
+    from molquarry.operators import fingerprints as fp
+
+    recipe = fp.many_fingerprints(16)
+    assert len(recipe) == 24 and fp.total_width(recipe) == 23 * 16 + 167
+    assert fp.element_kind(recipe) == "tinyint" and fp.element_kind([fp.Fingerprint("circular_counts")]) == "int"
+    with pytest.raises(ValueError):
+        fp.Fingerprint("other")
+    small = [fp.Fingerprint("path", 3), fp.Fingerprint("avalon", 4)]
+    df = spark.createDataFrame([("CO",), ("CO",), (None,)], "s string")
+    kernel = lambda v: [0, 1, 1, 1, 0, 0, 1]
+    plain = fp.encode(df, "s", small, "f", kernel).orderBy(F.col("s").isNull()).collect()
+    assert [r["f"] for r in plain] == [[0, 1, 1, 1, 0, 0, 1]] * 2 + [[0] * 7]
+    places = fp.encode(df, "s", small, "f", kernel, indices=True, offset=10).orderBy(F.col("s").isNull()).collect()
+    assert [r["f"] for r in places] == [[11, 12, -1, 10, 13, -1, -1]] * 2 + [[-1] * 7]
+    out = fp.reaction(spark.createDataFrame([("C", "N", None)], "a string, b string, c string"), "f", ["a"], ["b"], ["c"], 32)
+    assert out.columns == ["f"] and sum(out.first()["f"]) >= 1
+    try:
+        import rdkit  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            fp.from_text(recipe)("C")
+
+
+def test_training_resumes(spark, tmp_path):
+    seen = []
+
+    def step(state, batch):
+        seen.append(batch)
+        if len(seen) == 4:
+            raise KeyboardInterrupt
+        return state.select((F.col("n") + batch).alias("n"))
+
+    held = models.Checkpoints(str(tmp_path / "c"), keep=1)
+    start = spark.createDataFrame([(0,)], "n int")
+    with pytest.raises(KeyboardInterrupt):
+        models.train_in_batches(step, [1, 10, 100], 2, held, start)
+    assert models.train_in_batches(step, [1, 10, 100], 2, held, start).first()[0] == 222
+    assert seen == [1, 10, 100, 1, 1, 10, 100]
+
+
+def test_pipeline_is_fit_on_training_rows(spark):
+    df = spark.createDataFrame([(0, [1, 0]), (1, [1, 1]), (2, [2, 1])], "row_id bigint, v array<int>")
+    out, steps = models.fitted_pipeline(df, [(encoders.ConstantDrop, "v"), lambda d: d.withColumn("n", F.size("v"))], df.where("row_id < 2"))
+    assert steps[0].positions == (0,) and [r["n"] for r in out.collect()] == [1, 1, 1]
+    parts = splits.split_frames(df, splits.by_shuffle(df, 2, 42, test_size=0.3))
+    assert {k: (v["train"].count(), v["test"].count()) for k, v in parts.items()} == {0: (2, 1), 1: (2, 1)}
+
+
+def test_patterns_from_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("C=N,1\nO,2\n")
+    texts = evolve.load_patterns(spark, str(tmp_path / "p.csv"))
+    assert texts == ["C=N", "O"]
+    df = spark.createDataFrame([("OC=NO",), (None,)], "s string")
+    genome = evolve.Genome([evolve.Pattern(("C", "N"), ("=",)), evolve.Pattern(("O",))])
+    assert [r["features"] for r in evolve.encode_genome(df, "s", genome, match=False).collect()] == [[1, 2], [0, 0]]

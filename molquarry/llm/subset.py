@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from molquarry.llm import compounds
 from molquarry.session import cut
 
-WIDTH = 128
+WIDTH = 256
 GRAM = 3
 BLOCK_ROWS = 2_000
 #: nominee lists that one task reduces, in pairs

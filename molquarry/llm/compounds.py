@@ -9,7 +9,7 @@ pair of shards meets once; each meeting returns only a spanning forest of the li
 (no more than a row a value), which keeps every connection without listing all pairs of a class.
 
 Values of at most EDITS characters are within reach of one another by definition; they form one
-class at once and are scanned as a block of their own by every shard.
+class at once and are scanned in blocks of their own by every shard.
 """
 
 from __future__ import annotations
@@ -215,12 +215,13 @@ def link_forest(shard: list[str], block: list[str] | None, edits: int = EDITS) -
 def value_links(values: DataFrame, edits: int = EDITS, shard_values: int = SHARD_VALUES) -> DataFrame:
     """(a, b): links between the ids of (id, field, value) that connect all that are within reach."""
     sized = values.withColumn("short", F.length("value") <= edits)
-    counts = {r["field"]: r["n"] for r in sized.where("not short").groupBy("field").agg(F.count("*").alias("n")).collect()}
-    shards = F.lit(1)
-    for field, n in counts.items():
-        shards = F.when(F.col("field") == field, F.lit(max(1, -(-n // shard_values)))).otherwise(shards)
-    sized = sized.withColumn("shards", shards).withColumn(
-        "own", F.when(F.col("short"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("shards"))).cast("bigint")
+    shards, blocks = F.lit(1), F.lit(0)
+    for r in sized.groupBy("field").agg(F.sum(F.col("short").cast("long")).alias("s"), F.count("*").alias("n")).collect():
+        shards = F.when(F.col("field") == r["field"], F.lit(max(1, -(-(r["n"] - r["s"]) // shard_values)))).otherwise(shards)
+        blocks = F.when(F.col("field") == r["field"], F.lit(-(-r["s"] // shard_values))).otherwise(blocks)
+    # shards of longer values are numbered from 0 up, blocks of short ones from -1 down
+    sized = sized.withColumn("shards", shards).withColumn("blocks", blocks).withColumn(
+        "own", F.when(F.col("short"), F.lit(-1) - F.pmod(F.xxhash64("id", F.lit(7)), F.greatest("blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("shards"))).cast("bigint")
     )
     # a value of shard s is searched for in the blocks s..n-1 and stands in the blocks of shards 0..s
     roles = sized.select(
@@ -228,11 +229,11 @@ def value_links(values: DataFrame, edits: int = EDITS, shard_values: int = SHARD
         F.explode(
             F.when(
                 F.col("short"),
-                F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(s.cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"))),
+                F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(s.cast("bigint").alias("i"), F.col("own").alias("j"))),
             ).otherwise(
                 F.array_union(
                     F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(F.least(s.cast("bigint"), "own").alias("i"), F.greatest(s.cast("bigint"), "own").alias("j"))),
-                    F.array(F.struct(F.col("own").alias("i"), F.lit(-1).cast("bigint").alias("j"))),
+                    F.transform(F.slice(F.sequence(F.lit(1), F.greatest("blocks", F.lit(1))), F.lit(1), F.col("blocks")), lambda s: F.struct(F.col("own").alias("i"), (-s).cast("bigint").alias("j"))),
                 )
             )
         ).alias("meet"),

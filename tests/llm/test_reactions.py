@@ -140,6 +140,27 @@ def test_shards_meet(spark, monkeypatch):
             assert len(set(pairs.values())) == len(pairs)
 
 
+def test_short_values_only(spark):
+    """More short values than a block holds, and a few longer ones within reach of them."""
+    texts = ["".join(t) for t in {("C", "N"), ("C",), ("N", "O"), ("O", "O", "C"), ("S",), ("P", "P", "P", "P")}] + ["CNOSPFI", "CCCCCCCCC", "PPPPPPPP"]
+    rows = [(i, t, "C", "C", "C", "train", "A", "", "", "") for i, t in enumerate(texts)]
+    values = compounds.distinct_values(spark.createDataFrame(rows, SCHEMA), ["ligand"])
+    of = {r["id"]: r["value"] for r in values.collect()}
+    got = {r["node"]: r["component"] for r in components.components(compounds.value_links(values, shard_values=2)).collect()}
+    want = ref.classes(set(of.values()), ref.near)
+    groups = {}
+    for i, v in of.items():
+        groups.setdefault(want[v], set()).add(got.get(i, i))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+def test_hub_columns_are_bounded(spark):
+    """A node that is everyone's strongest neighbour keeps a bounded column, and links still connect."""
+    graph = spark.createDataFrame([(0, i, 0.5) for i in range(1, 200)], "a bigint, b bigint, likeness double")
+    limit = clusters.markov(graph).collect()
+    assert len(limit) == 200 and all(0 < len(r["i"]) <= 50 and abs(sum(r["w"]) - 1) < 1e-9 for r in limit)
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert splits.cross_split_pairs(none, FIELDS).count() == 0

@@ -2,15 +2,14 @@
 
 Two values are similar if their sets of 3-character substrings share at least a third of their
 union. The distinct values of each field are dealt to shards; each pair of shards meets once,
-counts shared substrings through posting lists and returns a spanning forest of all similar pairs
-(at most a row a value) and the strongest similarities of each value.
+counts shared substrings through posting lists and returns all similar pairs and a spanning forest
+of them (at most a row a value). The components of the forest are the classes of values.
 
-Markov clustering runs on the graph of each value's strongest similarities: the column-stochastic
-matrix is squared (a join on the middle index), entries are raised to a power and normalised
-(inflation), and small ones are pruned, until every column holds one large entry. The attractor of
-a column, its largest row, names its cluster; the flow into a value says how typical it is.
-An exact check follows: clusters that any similar pair links are one, so the result is the
-transitive closure of similarity whatever the graph left out.
+Markov clustering runs on the graph of all similar pairs: the column-stochastic matrix is squared,
+entries are raised to a power and normalised (inflation), and those that no result shows are
+dropped, until no entry changes. No flow leaves a component, so each is a block of its own, squared
+whole by one task; a component of more than BLOCK_VALUES values is squared by joins on the middle
+index instead, with the same results. The flow into a value says how typical it is.
 
 Defined results: a missing value belongs to no cluster; a value of fewer than 3 characters has no
 substrings and is similar to none but itself; repeated rows are members of their own.
@@ -18,8 +17,6 @@ substrings and is similar to none but itself; repeated rows are members of their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,13 +30,14 @@ GRAM = 3
 #: shared / union >= 1 / 3, as shared * RATIO >= the sum of both sizes
 RATIO = 4
 SHARD_VALUES = 4_000
-#: edges that a value contributes to the graph of Markov clustering
-STRONGEST = 6
 INFLATION = 2.0
-#: entries below this share of a column are pruned, so a column has at most 1 / PRUNE entries
-PRUNE = 0.02
-MAX_ROUNDS = 16
-SETTLED = 0.98
+#: values of a component that one task squares as a dense matrix (32 MB)
+BLOCK_VALUES = 2_000
+#: entries below this share of a column are dropped; a round that changes none by more is the last
+NEGLIGIBLE = 1e-9
+#: decimals of an entry, so that rounding errors don't grow from round to round and part equal values
+DECIMALS = 12
+MAX_ROUNDS = 100
 TYPICAL = 3
 
 
@@ -52,9 +50,9 @@ def gram_sets(values: list[str], number: dict[str, int]) -> list[np.ndarray]:
     return out
 
 
-def similar(left: list[str], right: list[str] | None, strongest: int = STRONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(i, j, similarity) of the strongest pairs of each value, and a spanning forest of all similar
-    pairs, between left and right (numbered after left), or within left where right is None."""
+def similar(left: list[str], right: list[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(i, j, similarity) of all similar pairs, each once, and a spanning forest of them, between left
+    and right (numbered after left), or within left where right is None."""
     number: dict[str, int] = {}
     mine = gram_sets(left, number)
     others = mine if right is None else gram_sets(right, number)
@@ -77,9 +75,8 @@ def similar(left: list[str], right: list[str] | None, strongest: int = STRONGEST
             hit = hit[hit != i]
         if not len(hit):
             continue
-        likeness = shared[hit] / (len(grams) + size[hit] - shared[hit])
-        top = hit[np.argsort(-likeness, kind="stable")[:strongest]]
-        found.append((np.full(len(top), i), top + shift, shared[top] / (len(grams) + size[top] - shared[top])))
+        once = hit[hit > i] if right is None else hit
+        found.append((np.full(len(once), i, np.int32), (once + shift).astype(np.int32), shared[once] / (len(grams) + size[once] - shared[once])))
         # one member of each class met so far is enough to link
         for first in np.unique(label[hit], return_index=True)[1]:
             j = int(hit[first]) + shift
@@ -95,8 +92,8 @@ def similar(left: list[str], right: list[str] | None, strongest: int = STRONGEST
 
 
 def similarity_links(values: DataFrame, shard_values: int = SHARD_VALUES) -> DataFrame:
-    """(a, b, likeness, forest): forest rows connect all similar pairs; the others are the strongest
-    pairs of each value in each meeting of shards. values: (id, field, value), materialised."""
+    """(a, b, likeness, forest): forest rows connect all similar pairs; the others are these pairs, each
+    once. values: (id, field, value), materialised."""
     counts = {r["field"]: r["n"] for r in values.groupBy("field").agg(F.count("*").alias("n")).collect()}
     shards = F.lit(1)
     for field, n in counts.items():
@@ -127,87 +124,89 @@ def similarity_links(values: DataFrame, shard_values: int = SHARD_VALUES) -> Dat
     return roles.groupBy("field", "i", "j").applyInArrow(run, "a bigint, b bigint, likeness double, forest boolean")
 
 
-def _column(rows: np.ndarray, weights: np.ndarray, inflation: float, prune: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sum equal rows, inflate, prune and normalise one column."""
-    rows, at = np.unique(rows, return_inverse=True)
-    w = np.bincount(at, weights=weights, minlength=len(rows)) ** inflation
-    w /= w.sum()
-    keep = w >= min(prune, w.max())
-    rows, w = rows[keep], w[keep]
-    room = int(1 / prune)
-    if len(rows) > room:
-        keep = np.sort(np.lexsort((rows, -w))[:room])
-        rows, w = rows[keep], w[keep]
-    return rows, w / w.sum()
+def _inflate(w: np.ndarray, inflation: float) -> np.ndarray:
+    """Columns raised to a power and normalised, without what no result shows."""
+    w = w**inflation
+    w /= w.sum(axis=0)
+    w[w < NEGLIGIBLE] = 0
+    return np.round(w / w.sum(axis=0), DECIMALS)
 
 
-def _arrow_columns(keys: pa.Array, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r, _ in parts])]), pa.int32())
-    flat = lambda k, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts]), kind))
-    return pa.RecordBatch.from_arrays([keys, flat(0, pa.int64()), flat(1, pa.float64())], ["k", "i", "w"])
+def settled(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, inflation: float = INFLATION, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, limit) of Markov clustering of the undirected edges a, b as one dense matrix, whose
+    column j is that of node j."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    w = np.eye(len(nodes))
+    np.maximum.at(w, (i, j), likeness)
+    w = np.maximum(w, w.T)
+    w /= w.sum(axis=0)
+    for _ in range(rounds):
+        before, w = w, _inflate(w @ w, inflation)
+        if np.abs(w - before).max() <= NEGLIGIBLE:
+            break
+    return nodes, w
 
 
-COLUMNS = "k bigint, i array<bigint>, w array<double>"
+def _normalised(entries: DataFrame) -> DataFrame:
+    total = entries.groupBy("k").agg(F.sum("w").alias("total"))
+    return entries.join(total, "k").select("k", "i", (F.col("w") / F.col("total")).alias("w"))
 
 
-def markov(graph: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The limit of Markov clustering of an undirected graph (a, b, likeness): (k, i, w), the pruned
-    column of every node."""
-    both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+def settled_by_joins(edges: DataFrame, inflation: float = INFLATION, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(k, i, w): the entries of the limit as of settled(), by a join on the middle index a round."""
+    both = edges.select("a", "b", "likeness").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
     loops = both.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("likeness"))
-    entries = both.unionByName(loops).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                parts = [_column(np.array([e["b"] for e in p]), np.array([e["likeness"] for e in p]), 1.0, prune) for p in batch.column(1).to_pylist()]
-                yield _arrow_columns(batch.column(0), parts)
-
-    def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            part = lists.flatten()
-            factor, rows, weights = part.field("f").to_numpy(), part.field("i"), part.field("w")
-            inner = rows.offsets.to_numpy()
-            i = rows.flatten().to_numpy()
-            w = weights.flatten().to_numpy() * np.repeat(factor, np.diff(inner))
-            inner = inner - inner[0]
-            yield _arrow_columns(batch.column(0), [_column(i[inner[a] : inner[b]], w[inner[a] : inner[b]], inflation, prune) for a, b in zip(edge[:-1], edge[1:])])
-
-    # a column has at most 1 / prune entries, so a node of more edges keeps its strongest; partial
-    # top lists are made before the shuffle
-    ranked = entries.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("likeness"), "b")))
-    listed = ranked.where(F.col("r") <= int(1 / prune)).groupBy("a").agg(F.collect_list(F.struct("b", "likeness")).alias("p"))
-    columns = cut(listed.select(F.col("a").alias("k"), "p").mapInArrow(start, COLUMNS))
-    before = None
+    first = both.unionByName(loops).groupBy("a", "b").agg(F.max("likeness").alias("w"))
+    entries = cut(_normalised(first.select(F.col("a").alias("k"), F.col("b").alias("i"), "w")))
     for _ in range(rounds):
-        asked = columns.select("k", F.explode(F.arrays_zip("i", "w")).alias("e")).select("k", F.col("e.i").alias("m"), F.col("e.w").alias("f"))
-        met = asked.join(columns.select(F.col("k").alias("m"), "i", "w"), "m")
-        grouped = met.groupBy("k").agg(F.collect_list(F.struct("f", "i", "w")).alias("p"))
-        columns = cut(grouped.mapInArrow(square, COLUMNS))
-        # settled where every column has one large entry, or where no column's entries change (equal
-        # attractors share their columns for ever)
-        now = columns.agg(F.count(F.when(F.array_max("w") < SETTLED, 1)), F.sum(F.xxhash64("k", "i").cast("decimal(38,0)"))).first()
-        if not now[0] or now == before:
+        inner = entries.select(F.col("k").alias("m"), "i", F.col("w").alias("g"))
+        met = entries.select("k", F.col("i").alias("m"), F.col("w").alias("f")).join(inner, "m")
+        power = met.groupBy("k", "i").agg(F.pow(F.sum(F.col("f") * F.col("g")), F.lit(inflation)).alias("w"))
+        kept = _normalised(_normalised(power).where(F.col("w") >= NEGLIGIBLE))
+        before, entries = entries, cut(kept.withColumn("w", F.round("w", DECIMALS)))
+        both_rounds = entries.join(before.withColumnRenamed("w", "was"), ["k", "i"], "full")
+        change = both_rounds.agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        if change is None or change <= NEGLIGIBLE:
             break
-        before = now
+    return entries
+
+
+COLUMNS = "k bigint, i array<bigint>, w array<double>"
+
+
+def markov(graph: DataFrame, inflation: float = INFLATION, rounds: int = MAX_ROUNDS, classes: DataFrame | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """The limit of Markov clustering of an undirected graph (a, b, likeness): (k, i, w), the column of
+    every node. classes: (node, component) of the graph, if known, materialised."""
+    classes = cut(components(graph)) if classes is None else classes
+    sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
+    edges = graph.join(classes.join(sizes, "component"), F.col("a") == F.col("node")).select("component", "size", "a", "b", "likeness")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, w = settled(table["a"].to_numpy(), table["b"].to_numpy(), table["likeness"].to_numpy(), inflation, rounds)
+        k, i = np.nonzero(w.T)
+        offsets = pa.array(np.searchsorted(k, np.arange(len(nodes) + 1)), pa.int32())
+        rows = pa.ListArray.from_arrays(offsets, pa.array(nodes[i], pa.int64()))
+        return pa.table({"k": pa.array(nodes, pa.int64()), "i": rows, "w": pa.ListArray.from_arrays(offsets, pa.array(w[i, k], pa.float64()))})
+
+    columns = edges.where(F.col("size") <= block_values).select("component", "a", "b", "likeness").groupBy("component").applyInArrow(run, COLUMNS)
+    if sizes.where(F.col("size") > block_values).limit(1).count():
+        entries = settled_by_joins(edges.where(F.col("size") > block_values), inflation, rounds)
+        listed = entries.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"))
+        columns = columns.unionByName(listed.select("k", F.col("e.i").alias("i"), F.col("e.w").alias("w")))
     return columns
 
 
 def value_clusters(df: DataFrame, fields: list[str]) -> DataFrame:
     """(id, class, flow) of every distinct value that isn't missing, materialised: class is the
-    smallest id of its cluster, flow how much of the cluster's Markov flow ends in the value."""
+    smallest id of all values that similar pairs link, flow how much Markov flow ends in the value."""
     values = compounds.distinct_values(df, fields)
     links = cut(similarity_links(values))
-    strong = links.where("not forest")
-    limit = markov(strong.select("a", "b", "likeness"))
+    joined = cut(components(links.where("forest").select("a", "b")))
+    limit = markov(links.where("not forest").select("a", "b", "likeness"), classes=joined)
     pulled = limit.select("k", F.explode(F.arrays_zip("i", "w")).alias("e")).select("k", F.col("e.i").alias("i"), F.col("e.w").alias("w"))
-    flow = pulled.groupBy("i").agg(F.sum("w").alias("flow"))
-    attractor = limit.select(F.col("k").alias("a"), F.element_at("i", F.array_position("w", F.array_max("w")).cast("int")).alias("b"))
-    joined = components(attractor.unionByName(links.where("forest").select("a", "b")))
+    # equal flows stay equal whatever the order of the sum
+    flow = pulled.groupBy("i").agg(F.round(F.sum("w"), 9).alias("flow"))
     found = values.select("id").join(joined, F.col("id") == F.col("node"), "left").join(flow, F.col("id") == F.col("i"), "left")
     return cut(found.select("id", F.coalesce("component", "id").alias("class"), F.coalesce("flow", F.lit(0.0)).alias("flow")))
 

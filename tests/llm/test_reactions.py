@@ -1,6 +1,7 @@
 """Overlaps, entity splits and clusters (p4, p5, p6) against plain versions."""
 
 import random
+import string
 from collections import defaultdict
 
 import pytest
@@ -161,6 +162,38 @@ def test_hub_columns_are_bounded(spark):
     assert len(limit) == 200 and all(0 < len(r["i"]) <= 50 and abs(sum(r["w"]) - 1) < 1e-9 for r in limit)
 
 
+def test_typical_matches_brute_force(spark):
+    """Families of up to 80 similar values, dealt to one and to several shards: the flow of every value
+    is that of the plain matrix of all similar pairs, and so are the most typical records."""
+    r = random.Random(3)
+    texts = set()
+    for n in (80, 30, 9, 2):
+        base = "".join(r.choice(string.ascii_letters) for _ in range(24))
+        while n:
+            at, more = r.randrange(24), r.randint(1, 6)
+            text = base[:at] + "".join(r.choice(string.digits) for _ in range(more)) + base[at + r.randint(0, 5) :]
+            n -= text not in texts
+            texts.add(text)
+    texts = sorted(texts)
+    rows = [(i, t, "CCCC", "C", "C", "train", "A", "", "", "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = ref.markov_flow(texts)
+    values = compounds.distinct_values(df, ["ligand"])
+    of = {x["id"]: x["value"] for x in values.collect()}
+    for shard_values, block_values in ((4_000, 2_000), (40, 2_000), (40, 20)):
+        pairs = clusters.similarity_links(values, shard_values).where("not forest").select("a", "b", "likeness")
+        flow = defaultdict(float)
+        for x in clusters.markov(pairs, block_values=block_values).collect():
+            for i, w in zip(x["i"], x["w"]):
+                flow[of[i]] += w
+        assert all(abs(flow[t] - want[t]) < 1e-6 for t in texts)
+    classes = ref.classes(set(texts), ref.alike)
+    table = {x["cluster_row_id"]: x["typical"] for x in clusters.cluster_table(df, ["ligand", "additive"]).collect()}
+    for name in set(classes.values()):
+        mine = [i for i, t in enumerate(texts) if classes[t] == name]
+        assert table[min(mine)] == sorted(mine, key=lambda i: (-round(want[texts[i]], 9), i))[:3]
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert splits.cross_split_pairs(none, FIELDS).count() == 0

@@ -6,18 +6,24 @@ and the assembly of a recipe don't. Fingerprints are computed once for each dist
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from molquarry.functions.values import nonzero_indices, reaction_string
-from molquarry.operators.encoders import hashed_fingerprint, promoted
+from molquarry.operators.encoders import promoted
 from molquarry.operators.select import encode_distinct
 
 #: the width of the one kind whose length is fixed
 KEYS_WIDTH = 167
+#: rows whose bits are made at once
+BATCH_ROWS = 2_000
 KINDS = ("path", "circular_bits", "circular_counts", "avalon", "layered", "keys", "atom_pairs", "torsions")
 
 
@@ -117,9 +123,45 @@ def encode(df: DataFrame, column: str, recipe: list[Fingerprint], name: str, ker
     return coded.withColumn(name, whole)
 
 
-def reaction(df: DataFrame, name: str, reactants: list[str], reagents: list[str], products: list[str], bits: int = 2048, gram: int = 3, drop: list[str] | None = None) -> DataFrame:
-    """df with hashed bits of the reaction string in place of its columns. The substructure hashing of
-    chemistry libraries is another fingerprint and isn't claimed here."""
-    joined = df.withColumn("_r", reaction_string(reactants, reagents, products))
-    coded: Column = hashed_fingerprint("_r", bits, gram)
-    return joined.withColumn(name, coded.cast("array<int>")).drop("_r", *(drop if drop is not None else [*reactants, *reagents, *products]))
+def folded(texts: pa.Array, bits: int, gram: int) -> np.ndarray:
+    """hashed_fingerprint() of a batch of texts, as a matrix of 0 and 1: every distinct n-gram of the
+    batch is hashed once."""
+    held = [t or "" for t in texts.to_pylist()]
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(held)), size)
+    begin = np.arange(max(0, len(codes) - gram + 1))
+    begin = begin[owner[begin] == owner[begin + gram - 1]] if len(begin) else begin
+    alphabet, letter = np.unique(codes, return_inverse=True)
+    name = np.zeros(len(begin), np.int64)
+    for k in range(gram):  # numbered anew each time, so that long grams don't overflow
+        name = np.unique(name * len(alphabet) + letter[begin + k], return_inverse=True)[1]
+    first = np.unique(name, return_index=True)[1]
+    words = [codes[b : b + gram].astype("<u4").tobytes().decode("utf-32-le") for b in begin[first].tolist()]
+    bit = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % bits for w in words], np.int64)
+    out = np.zeros((len(held), bits), np.uint8)
+    out[owner[begin], bit[name]] = 1
+    return out
+
+
+def reaction(df: DataFrame, name: str, reactants: list[str], reagents: list[str], products: list[str], bits: int = 2048, gram: int = 3, drop: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """df with hashed bits of the reaction string in place of its columns, as integers or as one text
+    of 0 and 1. The substructure hashing of chemistry libraries is another fingerprint and isn't
+    claimed here."""
+    kept = df.drop(*(drop if drop is not None else [*reactants, *reagents, *products]), name)
+    joined = df.select(*(F.col(c) for c in kept.columns), reaction_string(reactants, reagents, products).alias("_r"))
+    fields = [*kept.schema.fields, StructField(name, StringType() if as_text else ArrayType(IntegerType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                found = folded(batch.column(batch.num_columns - 1), bits, gram)
+                offsets = pa.array(np.arange(len(found) + 1) * bits, pa.int32())
+                if as_text:
+                    made = pa.StringArray.from_buffers(len(found), offsets.buffers()[1], pa.py_buffer((found + ord("0")).tobytes()))
+                else:
+                    made = pa.ListArray.from_arrays(offsets, pa.array(found.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [f.name for f in fields])
+
+    return joined.mapInArrow(run, StructType(fields))

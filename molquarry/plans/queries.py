@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import tokens, values
-from molquarry.operators import duplicates, encoders, evolve, kernels, metrics, models, positions, search, select, sorting, splits
+from molquarry.operators import duplicates, encoders, evolve, fingerprints, kernels, metrics, models, positions, search, select, sorting, splits
 from molquarry.session import read_table
 from molquarry.sources import catalog, rejects
 from molquarry.streaming import encode
@@ -366,11 +366,18 @@ def reaction_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reaction_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded bits of the reaction string, once for each distinct string."""
+    """Folded bits of single SMILES, 32 of 2-grams; reaction_fingerprint_whole has those of reactions."""
     coded = read_table(spark, sf_dir, "lipophilicity").select("row_id", encoders.hashed_fingerprint("smiles", 32, 2).alias("bits"))
     return coded.select("row_id", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
 
 
+@query
+def reaction_fingerprint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2048 folded bits of the reaction string of every record."""
+    coded = fingerprints.reaction(read_table(spark, sf_dir, "dreher_dataset"), "bits", ["aryl_halide", "ligand"], ["base"], ["additive"], as_text=True)
+    return coded.select("row_id", "bits")
+
+
 @query
 def nonzero_indices_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bits(spark, sf_dir).select("vec_id", F.array_join(values.nonzero_indices(F.col("bits"), 1, -1).cast("array<string>"), ",").alias("places"))

@@ -41,3 +41,15 @@ def test_pca_is_centred(spark, tiny):
     assert np.allclose(x.mean(axis=0), 0, atol=1e-5)
     singular = np.linalg.svd(raw - raw.mean(axis=0), compute_uv=False)[:8]
     assert np.allclose(np.sqrt((x**2).sum(axis=0)), singular, rtol=1e-3)
+
+
+def test_reactions_keep_all_bits(spark, tiny):
+    """The fingerprint of every reaction, against hashes of its 3-grams one by one."""
+    import hashlib
+
+    texts = {r["row_id"]: r["reaction"] for r in QUERIES["reaction_string"](spark, tiny).collect()}
+    got = {r["row_id"]: r["bits"] for r in QUERIES["reaction_fingerprint_whole"](spark, tiny).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        held = {int(hashlib.md5(text[i : i + 3].encode()).hexdigest()[:8], 16) % 2048 for i in range(len(text) - 2)}
+        assert len(got[k]) == 2048 and {i for i, b in enumerate(got[k]) if b == "1"} == held

@@ -353,6 +353,20 @@ def token_ids_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row_id", F.array_join(F.col("smiles_ids").cast("array<string>"), ",").alias("ids"))
 
 
+def _whole_length(smiles: DataFrame) -> int:
+    """Room for the tokens of the longest text and both frame tokens."""
+    longest = smiles.agg(F.max(F.size(tokens.regex_tokens(F.col("smiles"))))).first()[0]
+    return max(longest or 0, 0) + 2
+
+
+@query
+def token_ids_padded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every text; token_ids_padded keeps the first 58."""
+    smiles = read_table(spark, sf_dir, "lipophilicity").select("row_id", "smiles")
+    coded = tokens.tokenize(smiles, "smiles", _whole_length(smiles))
+    return coded.select("row_id", F.array_join(F.col("smiles_ids").cast("array<string>"), ",").alias("ids"))
+
+
 @query
 def token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.token_ids(tokens.regex_tokens(F.col("smiles")), 20)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from molquarry.functions.tokens import VOCABULARY
 from molquarry.plans.oracle import SQL
 from molquarry.plans.queries import QUERIES
 from tests.compare import both
@@ -53,3 +54,18 @@ def test_reactions_keep_all_bits(spark, tiny):
     for k, text in texts.items():
         held = {int(hashlib.md5(text[i : i + 3].encode()).hexdigest()[:8], 16) % 2048 for i in range(len(text) - 2)}
         assert len(got[k]) == 2048 and {i for i, b in enumerate(got[k]) if b == "1"} == held
+
+
+def _framed(spark, tiny):
+    """The framed words of every text, of any length."""
+    texts = {r["row_id"]: r["tokens"] for r in QUERIES["regex_tokenize"](spark, tiny).collect()}
+    words = {k: [w if w in VOCABULARY else "[UNK]" for w in t.split()] for k, t in texts.items() if t is not None}
+    room = max(map(len, words.values())) + 2
+    assert room > 60
+    full = {k: ["[CLS]", *words[k], "[SEP]"] if k in words else [] for k in texts}
+    return {k: w + ["[PAD]"] * (room - len(w)) for k, w in full.items()}
+
+
+def test_token_ids_keep_every_token(spark, tiny):
+    got = {r["row_id"]: r["ids"].split(",") for r in QUERIES["token_ids_padded_whole"](spark, tiny).collect()}
+    assert {k: [VOCABULARY[int(i)] for i in ids] for k, ids in got.items()} == _framed(spark, tiny)

@@ -373,6 +373,14 @@ def token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "lipophilicity").select("row_id", tokens.decoded(ids).alias("words"))
 
 
+@query
+def token_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every token of every text; token_decode keeps the first 18."""
+    smiles = read_table(spark, sf_dir, "lipophilicity").select("row_id", "smiles")
+    ids = tokens.token_ids(tokens.regex_tokens(F.col("smiles")), _whole_length(smiles))
+    return smiles.select("row_id", tokens.decoded(ids).alias("words"))
+
+
 @query
 def reaction_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "dreher_dataset").select("row_id", values.reaction_string(["aryl_halide", "ligand"], ["base"], ["additive"]).alias("reaction"))

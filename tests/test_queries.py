@@ -69,3 +69,8 @@ def _framed(spark, tiny):
 def test_token_ids_keep_every_token(spark, tiny):
     got = {r["row_id"]: r["ids"].split(",") for r in QUERIES["token_ids_padded_whole"](spark, tiny).collect()}
     assert {k: [VOCABULARY[int(i)] for i in ids] for k, ids in got.items()} == _framed(spark, tiny)
+
+
+def test_decoding_keeps_every_token(spark, tiny):
+    got = {r["row_id"]: r["words"].split(" ") for r in QUERIES["token_decode_whole"](spark, tiny).collect()}
+    assert got == _framed(spark, tiny)

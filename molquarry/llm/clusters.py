@@ -144,8 +144,8 @@ def settled(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, inflation: float
     for _ in range(rounds):
         before, w = w, _inflate(w @ w, inflation)
         if np.abs(w - before).max() <= NEGLIGIBLE:
-            break
-    return nodes, w
+            return nodes, w
+    raise RuntimeError(f"unsettled Markov columns after {rounds} rounds")
 
 
 def _normalised(entries: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def settled_by_joins(edges: DataFrame, inflation: float = INFLATION, rounds: int
         both_rounds = entries.join(before.withColumnRenamed("w", "was"), ["k", "i"], "full")
         change = both_rounds.agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         if change is None or change <= NEGLIGIBLE:
-            break
-    return entries
+            return entries
+    raise RuntimeError(f"unsettled Markov columns after {rounds} rounds")
 
 
 COLUMNS = "k bigint, i array<bigint>, w array<double>"

@@ -4,6 +4,7 @@ import random
 import string
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,19 @@ def test_typical_matches_brute_force(spark):
         assert table[min(mine)] == sorted(mine, key=lambda i: (-round(want[texts[i]], 9), i))[:3]
 
 
+def test_markov_settles_or_raises(spark):
+    """Columns whose rows stay the same while their entries still move aren't settled."""
+    ends = ([0, 0, 1, 2, 2, 3], [1, 2, 2, 3, 4, 4], [0.5, 0.5, 0.5, 0.35, 0.5, 0.500001])
+    graph = spark.createDataFrame(list(zip(*ends)), "a bigint, b bigint, likeness double")
+    nodes, w = clusters.settled(*(np.array(x) for x in ends))
+    again = (w @ w) ** clusters.INFLATION
+    assert np.allclose(again / again.sum(axis=0), w, atol=1e-8)
+    with pytest.raises(RuntimeError):
+        clusters.settled(*(np.array(x) for x in ends), rounds=2)
+    with pytest.raises(RuntimeError):
+        clusters.settled_by_joins(graph, rounds=1)
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert splits.cross_split_pairs(none, FIELDS).count() == 0

@@ -442,14 +442,24 @@ def genome_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.select("p_brand", values.genome_id(F.col("genes")).alias("id"))
 
 
+def _subset(part: DataFrame) -> DataFrame:
+    genes = part.groupBy("p_brand").agg(F.countDistinct("p_type").alias("n"))
+    cells = part.select("p_brand", "p_type").distinct()
+    other = cells.select(F.col("p_brand").alias("other"), "p_type")
+    met = cells.join(other, "p_type").where("p_brand <> other").groupBy("p_brand", "other").agg(F.count(F.lit(1)).alias("shared"))
+    return met.join(genes, "p_brand").where("shared = n").select("p_brand", "other")
+
+
 @query
 def genome_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of brands of which one's types of small parts are all among the other's."""
+    return _subset(read_table(spark, sf_dir, "part").where("p_size <= 3"))
+
+
+@query
+def genome_subset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of brands of which one's types are all among the other's."""
-    genes = read_table(spark, sf_dir, "part").where("p_size <= 3").groupBy("p_brand").agg(F.collect_set("p_type").alias("g"), F.countDistinct("p_type").alias("n"))
-    cells = read_table(spark, sf_dir, "part").where("p_size <= 3").select("p_brand", "p_type").distinct()
-    other = cells.select(F.col("p_brand").alias("other"), "p_type")
-    met = cells.join(other, "p_type").where("p_brand <> other").groupBy("p_brand", "other").agg(F.count(F.lit(1)).alias("shared"))
-    return met.join(genes.select("p_brand", "n"), "p_brand").where("shared = n").select("p_brand", "other")
+    return _subset(read_table(spark, sf_dir, "part"))
 
 
 # fitness and search

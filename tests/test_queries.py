@@ -74,3 +74,12 @@ def test_token_ids_keep_every_token(spark, tiny):
 def test_decoding_keeps_every_token(spark, tiny):
     got = {r["row_id"]: r["words"].split(" ") for r in QUERIES["token_decode_whole"](spark, tiny).collect()}
     assert got == _framed(spark, tiny)
+
+
+def test_subsets_of_all_parts(spark, tiny):
+    types = {}
+    for r in spark.read.parquet(f"{tiny}/part.parquet").collect():
+        types.setdefault(r["p_brand"], set()).add(r["p_type"])
+    want = {(a, b) for a in types for b in types if a != b and types[a] <= types[b]}
+    got = [tuple(r) for r in QUERIES["genome_subset_whole"](spark, tiny).select("p_brand", "other").collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -1,19 +1,27 @@
-"""Classes of values that are the same compound: linked by at most EDITS changed characters.
-
-The distinct values of each field are normalised, given a 64-bit id and dealt to shards. A value
-is cut into passages; EDITS changes spoil at most EDITS of them, so a value within reach holds all
-others, each shifted by at most EDITS places. An Aho-Corasick automaton over the passages of one
-shard scans the values of one block; matched passages merge into coverage per value, and pairs of
-enough coverage are decided by the exact edit distance. Shards meet blocks in both roles, so every
-pair of shards meets once; each meeting returns only a spanning forest of the links that it finds
-(no more than a row a value), which keeps every connection without listing all pairs of a class.
-
-Values of at most EDITS characters are within reach of one another by definition; they form one
-class at once and are scanned in blocks of their own by every shard.
+"""Classes of values that are the same compound: linked by at most EDITS changed characters (p4, p5).
+
+The distinct values of each field are normalised and given a 64-bit id. A value is cut into EDITS + 1
+passages; EDITS changes leave one of them whole, at a shift that the changes before and after it
+allow. The passages of the asked values are dealt to shards by a hash of their characters. A text
+goes to those shards only to which one of its own substrings of fitting length and place hashes,
+so no text meets all shards. In a shard, an Aho-Corasick automaton over the passages scans the texts; matched
+intervals merge into coverage for each asked value, and pairs of a value and a text are decided by the
+exact edit distance. A shard returns a spanning forest of its links (no more than a row a value), which
+keeps every connection without listing all pairs of a class.
+
+Which values are asked is the caller's choice. For overlaps between splits (p4) they are the values
+of held-out records; a text that is linked to one is asked next, until no new one is linked, so that classes are
+whole even where they hang together by values of no split. For entities (p5) all values are asked.
+
+Hot passages: a shard of more than SHARD_ROWS passages or TEXT_ROWS texts is cut into blocks of either side that
+meet each other. Values of at most EDITS characters are within reach of one another by definition and form
+one class at once; they meet all texts of at most 2 * EDITS characters in a shard of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,13 +32,15 @@ from molquarry.llm.editing import within
 from molquarry.session import cut
 
 EDITS = 4
-#: characters of a passage, about; there are always more than EDITS passages
-PASSAGE = 5
-SHARD_VALUES = 4_000
-#: text hits counted at once
-HITS = 4_000_000
+#: passages and texts of one block
+SHARD_ROWS = 20_000
+TEXT_ROWS = 50_000
+#: pairs of a passage and a text that are looked at at once
+HITS = 2_000_000
 #: class tables of at most so many rows (16 bytes each) are broadcast, larger ones are joined
 BROADCAST_ROWS = 250_000
+#: parts that the rows of a hot key are dealt to where they are joined
+SALTS = 16
 #: fixed values: the strings that mean a missing component
 MISSING = ("", "NA", "nan", "ValueNotFound")
 
@@ -45,18 +55,34 @@ def value_id(field: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.xxhash64(F.lit(field), value))
 
 
-def distinct_values(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(id, field, value) of every distinct value, checkpointed. One pass: the values of a row are
-    exploded and aggregated before the shuffle."""
+def with_ids(df: DataFrame, fields: list[str], keep: list[str | Column]) -> DataFrame:
+    """keep and <field>_id of each field: values leave the rows as ids, so no text is shuffled."""
+    return df.select(*keep, *(value_id(f, normalised(f)).alias(f"{f}_id") for f in fields))
+
+
+def distinct_values(df: DataFrame, fields: list[str], **marks: Column) -> DataFrame:
+    """(id, field, value[, marks]) of every distinct value, checkpointed; a mark is true where it is true
+    in any of its records. One pass: the values of a row are exploded and aggregated before the shuffle."""
     listed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), normalised(f).alias("value")) for f in fields)))
-    found = df.select(listed.alias("x")).select("x.field", "x.value").where("value IS NOT NULL").distinct()
-    return cut(found.select(F.xxhash64("field", "value").alias("id"), "field", "value"))
+    flat = df.select(listed.alias("x"), *(F.coalesce(c, F.lit(False)).alias(m) for m, c in marks.items())).select("x.field", "x.value", *marks).where("value IS NOT NULL")
+    found = flat.groupBy("field", "value").agg(*(F.max(m).alias(m) for m in marks)) if marks else flat.distinct()
+    return cut(found.select(F.xxhash64("field", "value").alias("id"), "field", "value", *marks))
 
 
-def passages(length: int, edits: int = EDITS, size: int = PASSAGE) -> np.ndarray:
-    """The edges of the passages of a value: more than `edits` of them, of about `size` characters."""
-    count = max(edits + 1, length // size)
-    return np.arange(count + 1) * length // count
+def passages(length: int, edits: int = EDITS) -> np.ndarray:
+    """The edges of the edits + 1 passages of a value."""
+    return np.arange(edits + 2) * length // (edits + 1)
+
+
+def shifts(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(longer, passage, shift): where a whole passage of a value may stand in a text that is `longer`
+    characters longer: the changes before it (at most its number) and after it (at most the rest)
+    bound the shift."""
+    out = []
+    for longer in range(-edits, edits + 1):
+        for i in range(edits + 1):
+            out += [(longer, i, d) for d in range(max(-i, longer - edits + i), min(i, longer + edits - i) + 1)]
+    return out
 
 
 class _Forest:
@@ -80,193 +106,299 @@ class _Forest:
         return np.array([self.find(i) for i in range(len(self.parent))], np.int64)
 
 
-def covered_pairs(shard: list[str], block: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in shard, position in block, covered characters) of the pairs that share, at a
-    shift of at most `edits`, all but `edits` of the passages of the shard's value."""
-    import ahocorasick
-
-    automaton, number = ahocorasick.Automaton(), {}
-    owner, place, length = [], [], []
-    posting: list[list[int]] = []
-    need = np.zeros(len(shard), np.int64)
-    for v, value in enumerate(shard):
-        edges = passages(len(value), edits).tolist()
-        need[v] = len(edges) - 1 - edits
-        for p in range(len(edges) - 1):
-            word = value[edges[p] : edges[p + 1]]
-            if word not in number:
-                number[word] = len(number)
-                automaton.add_word(word, number[word])
-                posting.append([])
-            posting[number[word]].append(len(owner))
-            owner.append(v)
-            place.append(edges[p])
-            length.append(len(word))
-    if not number:
-        return (np.empty(0, np.int64),) * 3
-    automaton.make_automaton()
-    owner, place, length = (np.array(x, np.int64) for x in (owner, place, length))
-    sizes = np.array([len(p) for p in posting], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate([np.array(p, np.int64) for p in posting])
-    word_size = length[flat[starts]]
-    shard_size = np.fromiter(map(len, shard), np.int64, len(shard))
-    block_size = np.fromiter(map(len, block), np.int64, len(block))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def count(hits: list[tuple[int, int]], texts: list[int], owners: list[int]) -> None:
-        if not hits:
-            return
-        end, word = np.array(hits, np.int64).T
-        text = np.repeat(np.array(owners, np.int64), np.array(texts, np.int64))
-        begin = end - word_size[word] + 1
-        n = sizes[word]
-        entry = flat[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        text, begin = np.repeat(text, n), np.repeat(begin, n)
-        v = owner[entry]
-        near = (np.abs(place[entry] - begin) <= edits) & (np.abs(shard_size[v] - block_size[text]) <= edits)
-        entry, text, v = entry[near], text[near], v[near]
-        # passages of a value don't overlap, so the lengths of the matched ones are its merged
-        # intervals; one that matches at two shifts counts twice, which the exact test corrects
-        text -= owners[0]
-        key = text * len(shard) + v
-        room = len(owners) * len(shard)
-        matched = np.bincount(key, minlength=room)
-        pair = np.flatnonzero(matched.reshape(len(owners), -1) >= need[None, :])
-        pair = pair[matched[pair] > 0]
-        if len(pair):
-            covered = np.bincount(key, weights=length[entry], minlength=room)[pair]
-            v, text = pair % len(shard), pair // len(shard) + owners[0]
-            out.append((v, text, np.minimum(covered.astype(np.int64), shard_size[v])))
-
-    hits, texts, owners, load = [], [], [], 0
-    for t, value in enumerate(block):
-        found = list(automaton.iter(value))
-        hits += found
-        texts.append(len(found))
-        owners.append(t)
-        load += int(sizes[[w for _, w in found]].sum()) if found else 0
-        if load > HITS or len(owners) * len(shard) > HITS:
-            count(hits, texts, owners)
-            hits, texts, owners, load = [], [], [], 0
-    count(hits, texts, owners)
-    if not out:
-        return (np.empty(0, np.int64),) * 3
+class _Hashes:
+    """Hashes of substrings of many texts, each from two prefix sums (modulo 2^64)."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, texts: list[str]):
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begin = np.cumsum(self.size) - self.size
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes) + 1
+        inverse = np.uint64(pow(int(self.STEP), -1, 1 << 64))
+        one = np.ones(1, np.uint64)
+        self.up = np.cumprod(np.concatenate([one, np.full(n, self.STEP)]))
+        down = np.cumprod(np.concatenate([one, np.full(n, inverse)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * down[: len(codes)], dtype=np.uint64)])
+
+    def shard(self, row: np.ndarray, start: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
+        low = self.begin[row] + start
+        h = (self.sums[low + size] - self.sums[low]) * self.up[low]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+#: the shard of values that are too short for passages
+SHORT = -1
+
+
+def routes(texts: list[str], asked: np.ndarray, searched: np.ndarray, shards: int, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shard, passage) of the rows that go to shards: passage is the number of an asked value's
+    passage, or -1 where the text is to be scanned."""
+    hashes = _Hashes(texts)
+    size, out = hashes.size, []
+    mine = np.flatnonzero(asked & (size > edits))
+    for i in range(edits + 1):
+        low, high = i * size[mine] // (edits + 1), (i + 1) * size[mine] // (edits + 1)
+        out.append((mine, hashes.shard(mine, low, high - low, shards), np.full(len(mine), i)))
+    brief = np.flatnonzero(asked & (size <= edits))
+    out.append((brief, np.full(len(brief), SHORT), np.zeros(len(brief), np.int64)))
+    scanned = []
+    for longer, i, d in shifts(edits):
+        length = size - longer
+        low = i * length // (edits + 1)
+        high = (i + 1) * length // (edits + 1)
+        t = np.flatnonzero(searched & (length > edits) & (low + d >= 0) & (high + d <= size))
+        scanned.append(np.stack([t, hashes.shard(t, low[t] + d, high[t] - low[t], shards)]))
+    t = np.flatnonzero(searched & (size <= 2 * edits))
+    scanned.append(np.stack([t, np.full(len(t), SHORT)]))
+    t, shard = np.unique(np.concatenate(scanned, axis=1), axis=1)
+    out.append((t, shard, np.full(len(t), -1)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def bag_distance(values: list[str], a: np.ndarray, b: np.ndarray, width: int = 48) -> np.ndarray:
-    """A lower bound of the edit distance of the pairs: characters (by their code modulo width) that
-    one value has beyond the other."""
+def bag_distance(bags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of the pairs: characters that one value has beyond the other."""
+    more = bags[a] - bags[b]
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
+
+def _bags(values: list[str], width: int = 48) -> np.ndarray:
     size = np.fromiter(map(len, values), np.int64, len(values))
     codes = np.frombuffer("".join(values).encode("utf-32-le"), np.uint32) % width
     bags = np.bincount(np.repeat(np.arange(len(values)), size) * width + codes, minlength=len(values) * width)
-    bags = np.minimum(bags, 30_000).astype(np.int16).reshape(-1, width)
-    out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 100_000):
-        more = bags[a[i : i + 100_000]] - bags[b[i : i + 100_000]]
-        out[i : i + 100_000] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-    return out
+    return np.minimum(bags, 30_000).astype(np.int16).reshape(-1, width)
 
 
-def link_forest(shard: list[str], block: list[str] | None, edits: int = EDITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links between shard and block, or within shard where block is None.
-    Nodes of the block are numbered after those of the shard."""
-    texts = shard if block is None else block
-    a, b, covered = covered_pairs(shard, texts, edits)
-    if block is None:
-        keep = a != b
-        a, b, covered = a[keep], b[keep], covered[keep]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pair, at = np.unique(low * len(shard) + high, return_index=True)
-        a, b, covered = pair // len(shard), pair % len(shard), covered[at]
-        values = shard
-    else:
-        b = b + len(shard)
-        values = shard + block
-    near = bag_distance(values, a, b) <= edits
-    a, b, covered = a[near], b[near], covered[near]
-    size = np.fromiter(map(len, values), np.int64, len(values))
-    order = np.argsort(-(covered / np.maximum(1, size[a])), kind="stable")
-    a, b = a[order], b[order]
-    forest, edges = _Forest(len(values)), []
+def scanned(asked: list[str], parts: list[tuple[int, int]], texts: list[str], edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asked value, text, passage) of the passages (parts: value, number) that stand whole in a text at a
+    fitting place, found by one automaton; in batches of whole texts."""
+    import ahocorasick
 
-    def test(which: np.ndarray) -> None:
-        good = which[within([values[i] for i in a[which]], [values[i] for i in b[which]], edits)]
+    automaton, number, posting = ahocorasick.Automaton(), {}, []
+    owner = np.array([v for v, _ in parts], np.int64)
+    which = np.array([i for _, i in parts], np.int64)
+    size = np.fromiter(map(len, asked), np.int64, len(asked))
+    place, end = which * size[owner] // (edits + 1), (which + 1) * size[owner] // (edits + 1)
+    for p, (v, low, high) in enumerate(zip(owner.tolist(), place.tolist(), end.tolist())):
+        word = asked[v][low:high]
+        if word not in number:
+            number[word] = len(number)
+            automaton.add_word(word, number[word])
+            posting.append([])
+        posting[number[word]].append(p)
+    if not number:
+        return
+    automaton.make_automaton()
+    count = np.fromiter(map(len, posting), np.int64, len(posting))
+    first = np.cumsum(count) - count
+    flat = np.concatenate([np.array(p, np.int64) for p in posting])
+    width = (end - place)[flat[first]]
+
+    def pairs(hits: list[tuple[int, int]], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        stop, word = np.array(hits, np.int64).T
+        text, n = np.array(owners, np.int64), count[word]
+        entry = flat[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        text, begin = np.repeat(text, n), np.repeat(stop - width[word] + 1, n)
+        v, i = owner[entry], which[entry]
+        shift, longer = begin - place[entry], length[text] - size[v]
+        near = (np.abs(longer) <= edits) & (np.abs(shift) <= i) & (np.abs(longer - shift) <= edits - i)
+        return v[near], text[near], i[near]
+
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    hits: list[tuple[int, int]] = []
+    owners: list[int] = []
+    load = 0
+    for t, text in enumerate(texts):
+        found = list(automaton.iter(text))
+        hits += found
+        owners += [t] * len(found)
+        load += sum(int(count[w]) for _, w in found)
+        if load > HITS:
+            yield pairs(hits, owners)
+            hits, owners, load = [], [], 0
+    if hits:
+        yield pairs(hits, owners)
+
+
+def link_forest(values: list[str], batches: Iterator[tuple[np.ndarray, np.ndarray]], edits: int = EDITS) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the candidate pairs (positions in values). Pairs that are
+    connected by then need no test."""
+    forest, edges, bags = _Forest(len(values)), [], _bags(values)
+    label = forest.labels()
+
+    def open_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = label[a] != label[b]
+        return a[apart], b[apart]
+
+    def test(a: np.ndarray, b: np.ndarray) -> None:
+        good = np.flatnonzero(within([values[i] for i in a.tolist()], [values[i] for i in b.tolist()], edits))
         for i, j in zip(a[good].tolist(), b[good].tolist()):
             if forest.join(i, j):
                 edges.append((i, j))
 
-    # the best covered pair of each value first; pairs that are connected by then need no test
-    waiting = np.arange(len(a))
-    while len(waiting):
-        label = forest.labels()
-        waiting = waiting[label[a[waiting]] != label[b[waiting]]]
-        first = np.unique(a[waiting], return_index=True)[1]
-        again = np.unique(b[waiting], return_index=True)[1]
-        chosen = np.union1d(first, again)
-        if len(waiting) <= 20_000 or len(chosen) * 200 < len(waiting):
-            chosen = np.arange(min(len(waiting), 50_000))
-        test(waiting[chosen])
-        waiting = np.delete(waiting, chosen)
+    for a, b in batches:
+        a, b = open_pairs(a, b)
+        near = np.concatenate([bag_distance(bags, a[i : i + 100_000], b[i : i + 100_000]) <= edits for i in range(0, len(a), 100_000)]) if len(a) else np.empty(0, bool)
+        a, b = a[near], b[near]
+        while len(a):
+            # one pair a value first: most of what it joins needs no further test
+            chosen = np.zeros(len(a), bool)
+            chosen[np.unique(a, return_index=True)[1]] = True
+            if chosen.sum() * 50 < len(a) or len(a) <= 2_000:
+                chosen[:20_000] = True
+            test(a[chosen], b[chosen])
+            label = forest.labels()
+            a, b = open_pairs(a[~chosen], b[~chosen])
     return edges
 
 
-def value_links(values: DataFrame, edits: int = EDITS, shard_values: int = SHARD_VALUES) -> DataFrame:
-    """(a, b): links between the ids of (id, field, value) that connect all that are within reach."""
-    sized = values.withColumn("short", F.length("value") <= edits)
-    shards, blocks = F.lit(1), F.lit(0)
-    for r in sized.groupBy("field").agg(F.sum(F.col("short").cast("long")).alias("s"), F.count("*").alias("n")).collect():
-        shards = F.when(F.col("field") == r["field"], F.lit(max(1, -(-(r["n"] - r["s"]) // shard_values)))).otherwise(shards)
-        blocks = F.when(F.col("field") == r["field"], F.lit(-(-r["s"] // shard_values))).otherwise(blocks)
-    # shards of longer values are numbered from 0 up, blocks of short ones from -1 down
-    sized = sized.withColumn("shards", shards).withColumn("blocks", blocks).withColumn(
-        "own", F.when(F.col("short"), F.lit(-1) - F.pmod(F.xxhash64("id", F.lit(7)), F.greatest("blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("shards"))).cast("bigint")
-    )
-    # a value of shard s is searched for in the blocks s..n-1 and stands in the blocks of shards 0..s
-    roles = sized.select(
-        "field", "id", "value", "short", "own",
-        F.explode(
-            F.when(
-                F.col("short"),
-                F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(s.cast("bigint").alias("i"), F.col("own").alias("j"))),
-            ).otherwise(
-                F.array_union(
-                    F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(F.least(s.cast("bigint"), "own").alias("i"), F.greatest(s.cast("bigint"), "own").alias("j"))),
-                    F.transform(F.slice(F.sequence(F.lit(1), F.greatest("blocks", F.lit(1))), F.lit(1), F.col("blocks")), lambda s: F.struct(F.col("own").alias("i"), (-s).cast("bigint").alias("j"))),
-                )
-            )
-        ).alias("meet"),
-    )
+ROUTED = "field string, shard int, passage int, id bigint, value string, learned boolean"
+
+
+def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b, mask): links between the ids of values (id, field, value, asked, searched, learned), of asked
+    ones and searched ones, that connect all that are within reach; and rows with b null: the passages
+    of the asked value a, as bits, that some learned text holds."""
+    count = {r["field"]: r["n"] for r in values.where("asked").groupBy("field").agg(F.count("*").alias("n")).collect()}
+    shards = max(1, -(-(edits + 1) * max(count.values(), default=1) // shard_rows))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, fields, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            if not texts:
+                continue
+            flag = lambda i: batch.column(i).to_numpy(zero_copy_only=False).astype(bool)
+            row, shard, passage = routes(texts, flag(3), flag(4), shards, edits)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([fields.take(at), pa.array(shard, pa.int32()), pa.array(passage, pa.int32()), ids.take(at), batch.column(2).take(at), batch.column(5).take(at)], ["field", "shard", "passage", "id", "value", "learned"])
+
+    routed = values.select("id", "field", "value", "asked", "searched", "learned").mapInArrow(route, ROUTED)
+    load = routed.groupBy("field", "shard").agg(F.count_if(F.col("passage") >= 0).alias("m"), F.count_if(F.col("passage") < 0).alias("n"))
+    full = cut(load.where(F.col("m").between(1, 2 * shard_rows) & (F.col("n") <= TEXT_ROWS)).select("field", "shard", F.lit(1).alias("mb"), F.lit(1).alias("nb")).unionByName(
+        load.where((F.col("m") > 2 * shard_rows) | (F.col("n") > TEXT_ROWS)).where("m > 0").select("field", "shard", F.ceil(F.col("m") / shard_rows).cast("int").alias("mb"), F.ceil(F.col("n") / TEXT_ROWS).cast("int").alias("nb"))))
+    sized = routed.join(F.broadcast(full) if full.count() <= BROADCAST_ROWS else full, ["field", "shard"])
+    is_text = F.col("passage") < 0
+    own = F.pmod(F.xxhash64("id"), F.when(is_text, F.col("nb")).otherwise(F.col("mb"))).cast("int")
+    facing = F.explode(F.sequence(F.lit(0), F.when(is_text, F.col("mb")).otherwise(F.col("nb")) - 1))
+    met = sized.select("field", "shard", "passage", "id", "value", "learned", own.alias("own"), facing.alias("facing"))
+    met = met.select("field", "shard", "passage", "id", "value", "learned", F.when(is_text, F.col("facing")).otherwise(F.col("own")).alias("i"), F.when(is_text, F.col("own")).otherwise(F.col("facing")).alias("j"))
 
     def meet(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        rows = sorted(zip(table["own"].to_pylist(), table["id"].to_pylist(), table["value"].to_pylist()))
-        left = [(k, v) for own, k, v in rows if own == i]
-        right = None if i == j else [(k, v) for own, k, v in rows if own == j]
-        edges = link_forest([v for _, v in left], None if right is None else [v for _, v in right], edits) if left and right != [] else []
-        ids = np.array([k for k, _ in left + (right or [])], np.int64)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(ids[ends[:, 0]], pa.int64()), "b": pa.array(ids[ends[:, 1]], pa.int64())})
-
-    met = roles.select("field", "own", "id", "value", "meet.i", "meet.j").groupBy("field", "i", "j").applyInArrow(meet, "a bigint, b bigint")
-    short = sized.where("short").groupBy("field").agg(F.min("id").alias("b"))
-    brief = sized.where("short").join(short, "field").select(F.col("id").alias("a"), "b")
-    return met.unionByName(brief)
+        rows = sorted(zip(table["id"].to_pylist(), table["passage"].to_pylist(), table["value"].to_pylist(), table["learned"].to_pylist()))
+        place: dict[int, int] = {}
+        ids, values, parts, texts, learned = [], [], [], [], []
+        for key, passage, value, known in rows:
+            at = place.setdefault(key, len(ids))
+            if at == len(ids):
+                ids.append(key)
+                values.append(value)
+            if passage >= 0:
+                parts.append((at, passage))
+            else:
+                texts.append(at)
+                learned.append(known)
+        text_at, known, mask = np.array(texts, np.int64), np.array(learned, bool), np.zeros(len(ids), np.int64)
+
+        def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if not parts or not texts:
+                return
+            if table["shard"][0].as_py() == SHORT:
+                asked = np.array([v for v, _ in parts], np.int64)
+                step = max(1, HITS // len(asked))
+                for low in range(0, len(text_at), step):
+                    part = text_at[low : low + step]
+                    yield np.repeat(asked, len(part)), np.tile(part, len(asked))
+                return
+            for v, t, i in scanned(values, parts, [values[k] for k in texts], edits):
+                np.bitwise_or.at(mask, v[known[t]], 1 << i[known[t]])
+                pair = np.unique(v * len(ids) + text_at[t])
+                pair = pair[pair // len(ids) != pair % len(ids)]
+                yield pair // len(ids), pair % len(ids)
+
+        ends = np.array(link_forest(values, candidates(), edits), np.int64).reshape(-1, 2)
+        covered, key = np.flatnonzero(mask), np.array(ids, np.int64)
+        return pa.table({
+            "a": pa.array(key[np.concatenate([ends[:, 0], covered])], pa.int64()),
+            "b": pa.concat_arrays([pa.array(key[ends[:, 1]], pa.int64()), pa.nulls(len(covered), pa.int64())]),
+            "mask": pa.array(np.concatenate([np.zeros(len(ends), np.int64), mask[covered]]), pa.int32()),
+        })
+
+    found = met.groupBy("field", "shard", "i", "j").applyInArrow(meet, "a bigint, b bigint, mask int")
+    brief = values.where(F.length("value") <= edits)
+    least = brief.groupBy("field").agg(F.min("id").alias("b"))
+    return found.unionByName(brief.join(least, "field").where("id <> b").select(F.col("id").alias("a"), "b", F.lit(0).alias("mask")))
+
+
+def value_links(values: DataFrame, edits: int = EDITS, shard_values: int = SHARD_ROWS // 5) -> DataFrame:
+    """(a, b): links between the ids of (id, field, value) that connect all that are within reach."""
+    every = F.lit(True)
+    marked = values.select("id", "field", "value", every.alias("asked"), every.alias("searched"), F.lit(False).alias("learned"))
+    return passage_links(marked, edits, (edits + 1) * shard_values).where("b IS NOT NULL").select("a", "b")
+
+
+def reached_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), coverage (id, mask)), materialised: the links that connect the asked values of (id,
+    field, value, asked, learned) with all that are within reach of them, be it through other values."""
+    links = coverage = None
+    open_ = values.select("id", "field", "value", "asked", F.lit(True).alias("searched"), "learned")
+    while True:
+        found = cut(passage_links(open_, edits, shard_rows))
+        met = found.where("b IS NOT NULL").select("a", "b")
+        links = met if links is None else links.unionByName(met)
+        if coverage is None:
+            coverage = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        # values that were asked need no further scan: what is newly linked asks those that weren't
+        ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("new", F.lit(True))
+        rest = open_.where("NOT asked AND searched").drop("asked").join(ends, "id", "left")
+        open_ = cut(rest.select("id", "field", "value", F.coalesce("new", F.lit(False)).alias("asked"), "searched", "learned"))
+        if not open_.where("asked").limit(1).count():
+            return links, cut(coverage)
+
+
+def _classes(values: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links)
+    return cut(values.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class")))
 
 
 def compound_classes(df: DataFrame, fields: list[str], edits: int = EDITS) -> DataFrame:
     """(id, class) of every distinct value that isn't missing; class is the smallest id."""
     values = distinct_values(df, fields)
-    found = components(value_links(values, edits))
-    return cut(values.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("class")))
-
-
-def with_classes(df: DataFrame, classes: DataFrame, fields: list[str]) -> DataFrame:
-    """df (with an id column <field>_id for each field) with <field>_class, null for missing values.
-    classes must be materialised; it is broadcast only after a count of its rows."""
+    return _classes(values.select("id"), value_links(values, edits))
+
+
+def asked_classes(df: DataFrame, fields: list[str], asked: Column, learned: Column, edits: int = EDITS) -> DataFrame:
+    """(id, class, size, covered) of the values of asked records and of all that are the same compound:
+    size is the value's length, covered how many of its characters stand in passages that
+    learned records hold too (null for values of no asked record)."""
+    values = distinct_values(df, fields, asked=asked, learned=learned)
+    links, coverage = reached_links(values, edits)
+    n = F.length("value")
+    edge = lambda i: F.floor(n * F.lit(i) / F.lit(edits + 1))
+    merged = sum((F.when(F.coalesce("mask", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, edge(i + 1) - edge(i)).otherwise(0) for i in range(edits + 1)), F.lit(0))
+    # a value that a learned record has in equal spelling is covered whole
+    covered = F.when(F.col("asked"), F.when(F.col("learned"), n).otherwise(merged)).cast("int")
+    known = cut(values.join(coverage, "id", "left").select("id", "asked", n.alias("size"), covered.alias("covered")))
+    found = components(links)
+    joined = known.join(found, F.col("id") == F.col("node"), "left").where("asked OR node IS NOT NULL")
+    return cut(joined.select("id", F.coalesce("component", "id").alias("class"), "size", "covered"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, by: list[str], key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows with the one row of table that agrees in `by`. A hot key of rows is dealt to `salts` parts
+    by a hash of `key`, each of which meets a copy of the table's row."""
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*by, "_salt"], how).drop("_salt")
+
+
+def with_classes(df: DataFrame, classes: DataFrame, fields: list[str], key: str, columns: tuple[str, ...] = ("class",), how: str = "left") -> DataFrame:
+    """df (with an id column <field>_id for each field) with <field>_<column>, null for missing values.
+    classes must be materialised; it is broadcast only after a count of its rows, and joined by a
+    salted key beyond that."""
     small = classes.count() <= BROADCAST_ROWS
     for field in fields:
-        own = classes.select(F.col("id").alias(f"{field}_id"), F.col("class").alias(f"{field}_class"))
-        df = df.join(F.broadcast(own) if small else own, f"{field}_id", "left")
+        own = classes.select(F.col("id").alias(f"{field}_id"), *(F.col(c).alias(f"{field}_{c}") for c in columns))
+        df = df.join(F.broadcast(own), f"{field}_id", how) if small else salted_join(df, own, [f"{field}_id"], key, how)
     return df

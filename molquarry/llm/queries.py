@@ -52,6 +52,11 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlap_report(read_table(spark, sf_dir, "dreher_dataset"), REACTION)
 
 
+@query
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.overlap_coverage(read_table(spark, sf_dir, "dreher_dataset"), REACTION)
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.torn_entities(read_table(spark, sf_dir, "dreher_dataset"), ENTITY)

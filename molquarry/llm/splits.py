@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from molquarry.llm import compounds
 from molquarry.llm.components import components
+from molquarry.session import cut
 
 #: parts of a hash that the shares of the splits are ranges of
 RANGE = 1 << 30
@@ -21,32 +22,36 @@ def split_name(column: str) -> Column:
     return F.lower(F.btrim(F.col(column), F.lit(" \t")))
 
 
-def classed(df: DataFrame, fields: list[str], keep: list[str | Column], spelled: bool = False) -> DataFrame:
-    """The columns keep with <field>_class of each field. Values leave the rows as 64-bit ids in the
-    first projection, so no text is shuffled. spelled: also the array `exact` of those ids."""
+def classed(df: DataFrame, fields: list[str], keep: list[str | Column], key: str) -> DataFrame:
+    """The columns keep and key with <field>_class of each field, over all values."""
     classes = compounds.compound_classes(df, fields)
-    rows = df.select(*keep, *(compounds.value_id(f, compounds.normalised(f)).alias(f"{f}_id") for f in fields))
-    out = compounds.with_classes(rows, classes, fields)
-    if spelled:
-        out = out.withColumn("exact", F.array(*(f"{f}_id" for f in fields)))
-    return out.drop(*(f"{f}_id" for f in fields))
-
-
-def overlap_key(df: DataFrame, fields: list[str], keep: list[str | Column], spelled: bool = False) -> DataFrame:
-    """keep and `same`: one array of classes for records whose fields are all present."""
-    rows = classed(df, fields, keep, spelled)
-    whole = rows.where(" AND ".join(f"{f}_class IS NOT NULL" for f in fields))
-    return whole.withColumn("same", F.array(*(f"{f}_class" for f in fields))).drop(*(f"{f}_class" for f in fields))
+    rows = compounds.with_ids(df, fields, [key, *keep])
+    return compounds.with_classes(rows, classes, fields, key).drop(*(f"{f}_id" for f in fields))
+
+
+def overlap_rows(df: DataFrame, fields: list[str], keep: list[str | Column], key: str, split: str, train: str, held: tuple[str, ...]) -> DataFrame:
+    """key, keep, `split`, `same` (one array of classes), `exact` (one of value ids) and `coverage` of the
+    training and held-out records whose fields are all present and whose values all have the class of a held-out
+    value: no other training record can overlap. coverage (null for training records) is the
+    share of a record's characters in passages that training values hold too. Materialised."""
+    name = split_name(split)
+    classes = compounds.asked_classes(df, fields, name.isin(*held), name == train)
+    rows = compounds.with_ids(df.where(name.isin(train, *held)), fields, [key, *keep, name.alias("split")])
+    rows = rows.where(" AND ".join(f"{f}_id IS NOT NULL" for f in fields))
+    rows = compounds.with_classes(rows, classes, fields, key, ("class", "size", "covered"), "inner")
+    total = lambda c: sum((F.col(f"{f}_{c}") for f in fields), F.lit(0))
+    coverage = F.when(F.col("split") != train, total("covered") / total("size"))
+    made = {"same": F.array(*(f"{f}_class" for f in fields)), "exact": F.array(*(f"{f}_id" for f in fields)), "coverage": coverage}
+    names = [key, *(c for c in rows.columns if c != key and not any(c.startswith(f"{f}_") for f in fields))]
+    return cut(rows.select(*names, *(c.alias(n) for n, c in made.items())))
 
 
 def cross_split_pairs(df: DataFrame, fields: list[str], key: str = "row_id", split: str = "split_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
-    """(key_a, key_b), smaller first: a training and a held-out record of the same classes.
-
-    Only records whose classes stand on both sides reach the join; a class that a third of all
-    records share is split by adaptive execution, and its pairs are the asked result."""
-    rows = overlap_key(df, fields, [key, split_name(split).alias("split")])
+    """(key_a, key_b), smaller first: a training and a held-out record of the same classes. The pairs of a
+    class that many records share are the asked result; adaptive execution splits their join."""
+    rows = overlap_rows(df, fields, [], key, split, train, held)
     learned = rows.where(F.col("split") == train).select(F.col(key).alias("x"), "same")
-    tested = rows.where(F.col("split").isin(*held)).select(F.col(key).alias("y"), "same")
+    tested = rows.where(F.col("split") != train).select(F.col(key).alias("y"), "same")
     met = learned.join(tested, "same")
     return met.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
@@ -55,10 +60,10 @@ def overlap_report(df: DataFrame, fields: list[str], source: str = "sheet_name",
     """(split, source, records, overlapping, exact, pairs) for each held-out split and source: records
     that overlap with training, those of them that do so in equal spelling, and the pairs. Counts by
     spelling and class meet, never pairs."""
-    rows = overlap_key(df, fields, [key, split_name(split).alias("split"), F.col(source).alias("source")], spelled=True)
+    rows = overlap_rows(df, fields, [F.col(source).alias("source")], key, split, train, held)
     spelled = rows.where(F.col("split") == train).groupBy("same", "exact").agg(F.count("*").alias("n"))
     learned = spelled.groupBy("same").agg(F.sum("n").alias("n"))
-    tested = rows.where(F.col("split").isin(*held)).groupBy("same", "exact", "split", "source").agg(F.count("*").alias("m"))
+    tested = rows.where(F.col("split") != train).groupBy("same", "exact", "split", "source").agg(F.count("*").alias("m"))
     met = tested.join(spelled.select("same", "exact", F.lit(True).alias("hit")), ["same", "exact"], "left").join(learned, "same", "left")
     return met.groupBy("split", F.col("source").alias(source)).agg(
         F.sum("m").alias("records"),
@@ -68,14 +73,28 @@ def overlap_report(df: DataFrame, fields: list[str], source: str = "sheet_name",
     )
 
 
+def overlap_coverage(df: DataFrame, fields: list[str], source: str = "sheet_name", key: str = "row_id", split: str = "split_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """(key, split, source, coverage, copies): every held-out record whose fields are all present, the share
+    of its characters in passages that training values hold, and how many training records are the same."""
+    rows = overlap_rows(df, fields, [F.col(source).alias("source")], key, split, train, held)
+    learned = rows.where(F.col("split") == train).groupBy("same").agg(F.count("*").alias("copies"))
+    tested = rows.where(F.col("split") != train).select(key, "split", F.col("source").alias(source), "coverage", "same")
+    return compounds.salted_join(tested, learned, ["same"], key, "left").select(key, "split", source, "coverage", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+def entity(fields: list[str]) -> Column:
+    """One number for the classes of a record, null where one is missing."""
+    return F.when(F.expr(" AND ".join(f"{f}_class IS NOT NULL" for f in fields)), F.xxhash64(*(f"{f}_class" for f in fields)))
+
+
 def torn_entities(df: DataFrame, fields: list[str], key: str = "row_id", split: str = "split_name") -> DataFrame:
     """(entity_<key>): entities (records of one class in every field) that stand in two or more splits."""
-    rows = classed(df, fields, [key, split_name(split).alias("split")])
-    whole = rows.where("split IS NOT NULL AND " + " AND ".join(f"{f}_class IS NOT NULL" for f in fields))
+    rows = classed(df, fields, [split_name(split).alias("split")], key)
+    named = rows.select(key, "split", entity(fields).alias("entity")).where("split IS NOT NULL AND entity IS NOT NULL")
+    linked = linked_records(named, key, ["entity"], keep=["split"])
     # hashes of the names: the least of a text would need a sort
-    named = F.xxhash64("split")
-    entity = whole.groupBy(*(f"{f}_class" for f in fields)).agg(F.min(named).alias("low"), F.max(named).alias("high"), F.min(key).alias(f"entity_{key}"))
-    return entity.where("low <> high").select(f"entity_{key}")
+    found = linked.groupBy("component").agg(F.min(F.xxhash64("split")).alias("low"), F.max(F.xxhash64("split")).alias("high"), F.min(key).alias(f"entity_{key}"))
+    return found.where("low <> high").select(f"entity_{key}")
 
 
 def ranges(targets: list[tuple[str, float]]) -> list[tuple[str, int]]:
@@ -99,19 +118,19 @@ def split_of(component: Column, targets: list[tuple[str, float]], seed: int = 42
     return out
 
 
-def linked_records(df: DataFrame, key: str, entities: list[str]) -> DataFrame:
-    """(key, component): records joined by any shared entity. One entity column needs no search: its
-    values are the components. Records without an entity are their own component."""
-    named = [F.when(F.col(e).isNotNull(), F.xxhash64(F.lit(e), F.col(e))) for e in entities]
+def linked_records(df: DataFrame, key: str, entities: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(key, keep, component): records joined by any shared entity. The records of an entity are
+    aggregated first: a record links its entities to one another, star rounds run over the entities,
+    and a record follows its first one. Records without an entity are their own component."""
+    names = [F.when(F.col(e).isNotNull(), F.xxhash64(F.lit(e), F.col(e))) for e in entities]
     alone = F.xxhash64(F.lit("\0record"), F.col(key))
-    if len(entities) == 1:
-        return df.select(key, F.coalesce(named[0], alone).alias("component"))
-    held = df.select(key, F.filter(F.array(*named), lambda x: x.isNotNull()).alias("e"))
-    # entities of one record are linked in a chain; the record follows its first entity
-    chain = held.select(F.explode(F.transform(F.slice("e", 2, len(entities)), lambda x: F.struct(F.element_at(F.col("e"), 1).alias("a"), x.alias("b")))).alias("x")).select("x.a", "x.b").distinct()
-    found = components(chain)
-    first = held.select(key, F.get("e", F.lit(0)).alias("node"))
-    return first.join(found, "node", "left").select(key, F.coalesce("component", "node", alone).alias("component"))
+    held = df.select(key, *(keep or []), F.filter(F.array(*names), lambda x: x.isNotNull()).alias("_e"))
+    links = held.select(F.explode(F.transform("_e", lambda x: F.struct(F.element_at(F.col("_e"), 1).alias("a"), x.alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+    found = cut(components(links).select(F.col("node").alias("_node"), "component"))
+    first = held.select(key, *(keep or []), F.get("_e", F.lit(0)).alias("_node"))
+    small = found.count() <= compounds.BROADCAST_ROWS
+    out = first.join(F.broadcast(found), "_node", "left") if small else compounds.salted_join(first, found, ["_node"], key, "left")
+    return out.select(key, *(keep or []), F.coalesce("component", alone).alias("component"))
 
 
 def assign_splits(df: DataFrame, fields: list[str], targets: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
@@ -120,7 +139,6 @@ def assign_splits(df: DataFrame, fields: list[str], targets: DataFrame, key: str
     wanted = [(r[0], r[1]) for r in targets.select("split_name", "target_share").limit(1001).collect()]
     if len(wanted) > 1000:
         raise ValueError("more than 1000 splits")
-    rows = classed(df, fields, [key])
-    entity = F.when(F.expr(" AND ".join(f"{f}_class IS NOT NULL" for f in fields)), F.xxhash64(*(f"{f}_class" for f in fields)))
-    linked = linked_records(rows.select(key, entity.alias("entity")), key, ["entity"])
+    rows = classed(df, fields, [], key)
+    linked = linked_records(rows.select(key, entity(fields).alias("entity")), key, ["entity"])
     return linked.withColumn("assigned_split", split_of(F.col("component"), wanted, seed))

@@ -343,7 +343,8 @@ def cluster_shards(values: DataFrame, shards: dict[str, int]) -> DataFrame:
             "least": pa.concat_arrays([none(n, pa.int32()), pa.array(least[held], pa.int32()), none(k, pa.int32())]),
         })
 
-    return dealt.groupBy("field", "shard").applyInArrow(run, SHARD)
+    # the work of a shard lies in its pairs, not its bytes, so partitions must not be merged by size
+    return dealt.repartition(2 * max(1, sum(shards.values())), "field", "shard").groupBy("field", "shard").applyInArrow(run, SHARD)
 
 
 def _dealt(shards: dict[str, int]):
@@ -516,7 +517,7 @@ def clustered(df: DataFrame, fields: list[str], key: str = "row_id", with_flow:
 def cluster_members(df: DataFrame, fields: list[str], key: str = "row_id") -> DataFrame:
     """(cluster_<key>, key) of the records in clusters of two or more. A cluster's name is joined back
     by its classes and a salt, so that the largest cluster is no single task."""
-    rows = clustered(df, fields, key)
+    rows = cut(clustered(df, fields, key))
     by = [f"{f}_class" for f in fields]
     named = rows.groupBy(*by).agg(F.min(key).alias(f"cluster_{key}"), F.count("*").alias("n")).where("n > 1")
     return compounds.salted_join(rows, named, by, key).select(f"cluster_{key}", key)

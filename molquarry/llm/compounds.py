@@ -325,7 +325,9 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
             "mask": pa.array(np.concatenate([np.zeros(len(ends), np.int64), mask[covered]]), pa.int32()),
         })
 
-    found = met.groupBy("field", "shard", "i", "j").applyInArrow(meet, "a bigint, b bigint, mask int")
+    # the work of a shard lies in its pairs, not its bytes, so partitions must not be merged by size
+    by = ["field", "shard", "i", "j"]
+    found = met.repartition(2 * max(1, len(count)) * (shards + 1), *by).groupBy(*by).applyInArrow(meet, "a bigint, b bigint, mask int")
     brief = values.where(F.length("value") <= edits)
     least = brief.groupBy("field").agg(F.min("id").alias("b"))
     return found.unionByName(brief.join(least, "field").where("id <> b").select(F.col("id").alias("a"), "b", F.lit(0).alias("mask")))

@@ -29,12 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 16_384
 CANDIDATES = 20_000
 REGION_ROWS = 49_152
+#: rows of a query group, about, until there are MOST_GROUPS groups
+GROUP_ROWS = 160
+MOST_GROUPS = 2_048
+#: parts of the surplus copies of one vector where they are joined
+SALTS = 16
 #: k-means rounds; share of the sample that no codeword may exceed unless its vectors are equal
 ROUNDS = 6
 LARGEST_SHARE = 0.02
@@ -133,13 +138,14 @@ def _regions(centres: np.ndarray, mass: np.ndarray, count: int) -> np.ndarray:
 
 
 class Index:
-    """The fitted index of one field. Its size is bounded by the codebooks: at most 512 centroids a
-    half and 8,192 groups, with one bit for each group and cell."""
+    """The fitted index of one field. Codebooks and query groups grow with the rows up to a bound: at
+    most 256 centroids a half and 2,048 groups before the split of crowded codewords, which at
+    most doubles them. A group's route is kept as bits or as a list of cells, whichever is smaller."""
 
     def __init__(self, sample: np.ndarray, rows: int, candidates: int, region_rows: int):
         half = sample.shape[1] // 2
-        size = 128 if rows < 2_000_000 else 256
-        groups = int(np.clip(rows / 160, 1, 512 if rows < 2_000_000 else 4096))
+        size = int(np.clip(3 * rows ** (1 / 3), 16, 256))
+        groups = int(np.clip(rows / GROUP_ROWS, 1, MOST_GROUPS))
         self.halves = (fit_codebook(sample[:, :half], size, 1), fit_codebook(sample[:, half:], size, 2))
         self.centres = fit_codebook(sample, groups, 3)
         self.cells = len(self.halves[0]) * len(self.halves[1])
@@ -148,14 +154,14 @@ class Index:
         weight = np.bincount(group, minlength=len(self.centres)).astype(float)
         self.region_of = _regions(self.centres, weight, -(-rows // region_rows))
         self.regions = int(self.region_of.max()) + 1
-        self.bits = np.zeros((len(self.centres), -(-self.cells // 8)), np.uint8)
+        self.routes: list[np.ndarray] = []
         wanted = np.zeros((self.regions, self.cells), bool)
         for g, centre in enumerate(self.centres):
             d = [((c - part) ** 2).sum(1) for c, part in zip(self.halves, (centre[:half], centre[half:]))]
             route = traverse(d[0], d[1], mass, candidates)
             marks = np.zeros(self.cells, bool)
             marks[route] = True
-            self.bits[g] = np.packbits(marks)[: self.bits.shape[1]]
+            self.routes.append(route.astype(np.uint32) if 32 * len(route) < self.cells else np.packbits(marks))
             wanted[self.region_of[g], route] = True
         self.wanted = np.packbits(wanted, axis=1)
 
@@ -170,7 +176,16 @@ class Index:
         return np.unpackbits(self.wanted[region], count=self.cells).astype(bool)
 
     def route(self, group: int) -> np.ndarray:
-        return np.unpackbits(self.bits[group], count=self.cells).astype(bool)
+        held = self.routes[group]
+        if held.dtype == np.uint8:
+            return np.unpackbits(held, count=self.cells).astype(bool)
+        marks = np.zeros(self.cells, bool)
+        marks[held] = True
+        return marks
+
+    def size(self) -> int:
+        """Bytes of what is sent to the workers."""
+        return self.wanted.nbytes + self.centres.nbytes + sum(x.nbytes for x in (*self.halves, *self.routes))
 
 
 def usable(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,15 +318,28 @@ def _fit(df: DataFrame, width: int, candidates: int, region_rows: int) -> dict[s
     drawn = df.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < rate).select("field", "key", "vec").toArrow()
     indexes = {}
     for field, n in sorted(sizes.items()):
-        own = drawn.filter(pc.equal(drawn["field"], field)).sort_by("key").slice(0, 2 * SAMPLE)
-        x = usable(own["vec"], width)[1]
+        x = _sampled(drawn.filter(pc.equal(drawn["field"], field)), width)
+        if not len(x):
+            # a crowd of unusable vectors: draw among the usable ones alone, if there are any
+            few = df.where((F.col("field") == field) & usable_vector("vec", width))
+            n = few.count()
+            x = _sampled(few.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1 << 20, int(1.05 * SAMPLE / max(1, n) * (1 << 20)) + 1)).select("field", "key", "vec").toArrow(), width)
         if len(x):
             indexes[field] = Index(x, n, candidates, region_rows)
-        elif n:  # none of the sample is usable: any others share one cell
-            indexes[field] = Index(np.eye(1, width, dtype=np.float32), n, candidates, n)
     return indexes
 
 
+def _sampled(table: pa.Table, width: int) -> np.ndarray:
+    return usable(table.sort_by("key").slice(0, 2 * SAMPLE)["vec"], width)[1]
+
+
+def usable_vector(column: str, width: int) -> Column:
+    """Whether a vector is usable, as an expression."""
+    x = F.col(column)
+    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
+    return x.isNotNull() & (F.size(x) == width) & finite & F.exists(x, lambda v: v != 0)
+
+
 def neighbours(df: DataFrame, key: str = "vec_id", field: str = "field_name", vector: str = "vec", width: int = 48, k: int = 5, candidates: int = CANDIDATES, region_rows: int = REGION_ROWS, least: float | None = None, surplus: bool = True) -> DataFrame:
     """(key, field, neighbour, cosine): up to k rows for each usable vector.
 
@@ -385,14 +413,14 @@ def neighbours(df: DataFrame, key: str = "vec_id", field: str = "field_name", ve
             named = F.element_at(F.array(*(F.lit(n) for n in names)), number).alias("field")
             marked = routed.select("role", named, "key", F.xxhash64("x").alias("h"), F.md5("x").alias("m"))
             extra, by = marked.where("role = 0").select("field", "key", "h", "m"), ["field", "h", "m"]
-            # the k smallest keys of each group of copies, of what the batches kept; no row of a
-            # large group passes its batch but those
-            first = (
-                marked.where("role > 0 AND (role & 1) = 1")
-                .join(extra.select(*by).distinct(), by, "left_semi")
-                .groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("key")), 1, k).alias("near"))
-            )
-            added = extra.join(first, by).select("key", "field", F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
+            # the k smallest keys of each group of copies, of what the batches kept; the limit by rank
+            # passes no more than k of them a partition, and the surplus copies are dealt to salts
+            kept = marked.where("role > 0 AND (role & 1) = 1").join(extra.select(*by).distinct(), by, "left_semi")
+            ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("r") <= k)
+            first = ranked.groupBy(*by).agg(F.collect_list("key").alias("near"))
+            copies = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = extra.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+            added = salted.join(copies, [*by, "salt"]).select("key", "field", F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
             found = found.unionByName(added)
     return found.select(F.col("key").alias(key), F.col("field").alias(field), "neighbour", "cosine")
 
@@ -405,17 +433,34 @@ def mutual_pairs(df: DataFrame, least: float = 0.95, key: str = "vec_id", **more
     return both.where(F.col("u") & ~F.col("d")).select(f"{key}_a", f"{key}_b")
 
 
-def recall(df: DataFrame, queries: int = 2_000, key: str = "vec_id", field: str = "field_name", vector: str = "vec", width: int = 48, k: int = 5, **more) -> DataFrame:
-    """(field, queries, recall): the share of the exact k best cosines that the index reaches, for a
-    bounded number of queries against all rows."""
+def recall(df: DataFrame, every: int = 100, key: str = "vec_id", field: str = "field_name", vector: str = "vec", width: int = 48, k: int = 5, block: int = 8_192, **more) -> DataFrame:
+    """(field, queries, recall): the share of the exact k best cosines that the index reaches, for all keys
+    divisible by `every` against all rows. Blocks of `block` queries (1.6 MB of 48 numbers) are sent to the workers in turn."""
     spark = df.sparkSession
     drawn = df.select(F.col(key).cast("bigint").alias("key"), F.col(field).alias("field"), F.col(vector).alias("vec"))
-    asked = drawn.where("field IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(queries).toArrow()
-    at, x = usable(asked["vec"], width)
-    shared = spark.sparkContext.broadcast((np.array(asked["key"].to_pylist(), np.int64)[at], np.array(asked["field"].to_pylist(), object)[at], x))
+    asked = drawn.where((F.col("key") % every == 0) & F.col("field").isNotNull())
+    parts = max(1, -(-asked.count() // block))
+    exact = None
+    for part in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()
+        at, x = usable(mine["vec"], width)
+        shared = spark.sparkContext.broadcast((np.array(mine["key"].to_pylist(), np.int64)[at], np.array(mine["field"].to_pylist(), object)[at], x))
+        best = drawn.mapInArrow(_scan(shared, width, k), "key bigint, field string, cosine float")
+        exact = best if exact is None else exact.unionByName(best)
+    # each partition gives the k best of its rows
+    exact = exact.groupBy("key", "field").agg(F.slice(F.sort_array(F.collect_list("cosine"), False), 1, k).alias("best"))
+    exact = exact.select("key", "field", F.element_at("best", -1).alias("last"), F.size("best").alias("n"))
+    near = neighbours(df, key=key, field=field, vector=vector, width=width, k=k, **more).select(F.col(key).alias("key"), "cosine")
+    hit = exact.join(near, "key", "left").groupBy("key", "field", "n").agg(F.sum(F.when(F.col("cosine") >= F.col("last") - 1e-6, 1).otherwise(0)).alias("hit"))
+    return hit.groupBy(F.col("field").alias(field)).agg(F.count("*").alias("queries"), (F.sum(F.least("hit", "n")) / F.sum("n")).alias("recall"))
+
+
+def _scan(shared, width: int, k: int):
+    """The k best cosines of every query among the rows of a partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fields, q = shared.value
+        best = np.full((len(keys), k), -3, np.float32)
         for batch in batches:
             place, own = usable(batch.column(2), width)
             mine = batch.column(0).to_numpy(zero_copy_only=False)[place]
@@ -426,14 +471,9 @@ def recall(df: DataFrame, queries: int = 2_000, key: str = "vec_id", field: str
                     continue
                 product = q[a] @ own[b].T
                 product[keys[a][:, None] == mine[b][None, :]] = -3
-                top = np.argpartition(-product, min(k, len(b)) - 1, axis=1)[:, :k]
-                value = np.take_along_axis(product, top, 1).ravel()
-                good = value > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[a], top.shape[1])[good], pa.int64()), pa.array([name] * int(good.sum()), pa.string()), pa.array(value[good], pa.float32())], ["key", "field", "cosine"])
+                whole = np.concatenate([best[a], product], axis=1)
+                best[a] = -np.partition(-whole, k - 1, axis=1)[:, :k]
+        good = best > -2
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, k)[good.ravel()], pa.int64()), pa.array(np.repeat(fields, k)[good.ravel()].tolist(), pa.string()), pa.array(best[good], pa.float32())], ["key", "field", "cosine"])
 
-    scanned = drawn.mapInArrow(scan, "key bigint, field string, cosine float")
-    exact = scanned.groupBy("key", "field").agg(F.slice(F.sort_array(F.collect_list("cosine"), False), 1, k).alias("best"))
-    exact = exact.select("key", "field", F.element_at("best", -1).alias("last"), F.size("best").alias("n"))
-    near = neighbours(df, key=key, field=field, vector=vector, width=width, k=k, **more).select(F.col(key).alias("key"), "cosine")
-    hit = exact.join(near, "key", "left").groupBy("key", "field", "n").agg(F.sum(F.when(F.col("cosine") >= F.col("last") - 1e-6, 1).otherwise(0)).alias("hit"))
-    return hit.groupBy(F.col("field").alias(field)).agg(F.count("*").alias("queries"), (F.sum(F.least("hit", "n")) / F.sum("n")).alias("recall"))
+    return scan

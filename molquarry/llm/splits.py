@@ -29,30 +29,38 @@ def classed(df: DataFrame, fields: list[str], keep: list[str | Column], key: str
     return compounds.with_classes(rows, classes, fields, key).drop(*(f"{f}_id" for f in fields))
 
 
-def overlap_rows(df: DataFrame, fields: list[str], keep: list[str | Column], key: str, split: str, train: str, held: tuple[str, ...]) -> DataFrame:
-    """key, keep, `split`, `same` (one array of classes), `exact` (one of value ids) and `coverage` of the
+#: the classes of a record as two numbers, and its values
+SAME, EXACT = ["same", "same_too"], ["exact", "exact_too"]
+
+
+def pair_of_hashes(columns: list[str], names: list[str]) -> list[Column]:
+    """128 bits that stand for the columns where rows meet."""
+    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit(1), *columns).alias(names[1])]
+
+
+def overlap_rows(df: DataFrame, fields: list[str], keep: list[str | Column], key: str, split: str, train: str, held: tuple[str, ...], measured: bool = False) -> DataFrame:
+    """key, keep, `split`, SAME (of the classes), EXACT (of the values) and, where measured, `coverage` of the
     training and held-out records whose fields are all present and whose values all have the class of a held-out
     value: no other training record can overlap. coverage (null for training records) is the
-    share of a record's characters in passages that training values hold too. Materialised."""
+    share of a record's characters in passages that training values hold too."""
     name = split_name(split)
     classes = compounds.asked_classes(df, fields, name.isin(*held), name == train)
     rows = compounds.with_ids(df.where(name.isin(train, *held)), fields, [key, *keep, name.alias("split")])
     rows = rows.where(" AND ".join(f"{f}_id IS NOT NULL" for f in fields))
-    rows = compounds.with_classes(rows, classes, fields, key, ("class", "size", "covered"), "inner")
+    rows = compounds.with_classes(rows, classes, fields, key, ("class", "size", "covered") if measured else ("class",), "inner")
     total = lambda c: sum((F.col(f"{f}_{c}") for f in fields), F.lit(0))
-    coverage = F.when(F.col("split") != train, total("covered") / total("size"))
-    made = {"same": F.array(*(f"{f}_class" for f in fields)), "exact": F.array(*(f"{f}_id" for f in fields)), "coverage": coverage}
+    coverage = [F.when(F.col("split") != train, total("covered") / total("size")).alias("coverage")] if measured else []
     names = [key, *(c for c in rows.columns if c != key and not any(c.startswith(f"{f}_") for f in fields))]
-    return cut(rows.select(*names, *(c.alias(n) for n, c in made.items())))
+    return rows.select(*names, *coverage, *pair_of_hashes([f"{f}_class" for f in fields], SAME), *pair_of_hashes([f"{f}_id" for f in fields], EXACT))
 
 
 def cross_split_pairs(df: DataFrame, fields: list[str], key: str = "row_id", split: str = "split_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
     """(key_a, key_b), smaller first: a training and a held-out record of the same classes. The pairs of a
     class that many records share are the asked result; adaptive execution splits their join."""
-    rows = overlap_rows(df, fields, [], key, split, train, held)
-    learned = rows.where(F.col("split") == train).select(F.col(key).alias("x"), "same")
-    tested = rows.where(F.col("split") != train).select(F.col(key).alias("y"), "same")
-    met = learned.join(tested, "same")
+    rows = cut(overlap_rows(df, fields, [], key, split, train, held).select(key, (F.col("split") == train).alias("learned"), *SAME))
+    learned = rows.where("learned").select(F.col(key).alias("x"), *SAME)
+    tested = rows.where("NOT learned").select(F.col(key).alias("y"), *SAME)
+    met = learned.join(tested, SAME)
     return met.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
@@ -61,10 +69,12 @@ def overlap_report(df: DataFrame, fields: list[str], source: str = "sheet_name",
     that overlap with training, those of them that do so in equal spelling, and the pairs. Counts by
     spelling and class meet, never pairs."""
     rows = overlap_rows(df, fields, [F.col(source).alias("source")], key, split, train, held)
-    spelled = rows.where(F.col("split") == train).groupBy("same", "exact").agg(F.count("*").alias("n"))
-    learned = spelled.groupBy("same").agg(F.sum("n").alias("n"))
-    tested = rows.where(F.col("split") != train).groupBy("same", "exact", "split", "source").agg(F.count("*").alias("m"))
-    met = tested.join(spelled.select("same", "exact", F.lit(True).alias("hit")), ["same", "exact"], "left").join(learned, "same", "left")
+    both = [*SAME, *EXACT]
+    counted = cut(rows.groupBy(*both, "split", "source").agg(F.count("*").alias("m")))
+    spelled = counted.where(F.col("split") == train).groupBy(*both).agg(F.sum("m").alias("n"))
+    learned = spelled.groupBy(*SAME).agg(F.sum("n").alias("n"))
+    tested = counted.where(F.col("split") != train)
+    met = tested.join(spelled.select(*both, F.lit(True).alias("hit")), both, "left").join(learned, SAME, "left")
     return met.groupBy("split", F.col("source").alias(source)).agg(
         F.sum("m").alias("records"),
         F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("overlapping"),
@@ -76,10 +86,10 @@ def overlap_report(df: DataFrame, fields: list[str], source: str = "sheet_name",
 def overlap_coverage(df: DataFrame, fields: list[str], source: str = "sheet_name", key: str = "row_id", split: str = "split_name", train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
     """(key, split, source, coverage, copies): every held-out record whose fields are all present, the share
     of its characters in passages that training values hold, and how many training records are the same."""
-    rows = overlap_rows(df, fields, [F.col(source).alias("source")], key, split, train, held)
-    learned = rows.where(F.col("split") == train).groupBy("same").agg(F.count("*").alias("copies"))
-    tested = rows.where(F.col("split") != train).select(key, "split", F.col("source").alias(source), "coverage", "same")
-    return compounds.salted_join(tested, learned, ["same"], key, "left").select(key, "split", source, "coverage", F.coalesce("copies", F.lit(0)).alias("copies"))
+    rows = overlap_rows(df, fields, [F.col(source).alias("source")], key, split, train, held, measured=True)
+    learned = rows.where(F.col("split") == train).groupBy(*SAME).agg(F.count("*").alias("copies"))
+    tested = rows.where(F.col("split") != train).select(key, "split", F.col("source").alias(source), "coverage", *SAME)
+    return compounds.salted_join(tested, learned, SAME, key, "left").select(key, "split", source, "coverage", F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
 def entity(fields: list[str]) -> Column:

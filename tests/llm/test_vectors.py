@@ -68,7 +68,7 @@ def test_no_vectors(spark):
 def test_recall_of_a_narrow_search(spark):
     x = vectors(3000, 16, 7)
     df = spark.createDataFrame([(i, "f", r.tolist()) for i, r in enumerate(x)], "vec_id bigint, field_name string, vec array<double>")
-    out = neighbours.recall(df, queries=300, width=16, candidates=600, region_rows=700).collect()
+    out = neighbours.recall(df, every=10, width=16, candidates=600, region_rows=700).collect()
     assert out[0]["queries"] == 300 and out[0]["recall"] >= 0.9
 
 

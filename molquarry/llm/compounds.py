@@ -36,7 +36,7 @@ EDITS = 4
 SHARD_ROWS = 20_000
 TEXT_ROWS = 50_000
 #: pairs of a passage and a text that are looked at at once
-HITS = 2_000_000
+HITS = 500_000
 #: class tables of at most so many rows (16 bytes each) are broadcast, larger ones are joined
 BROADCAST_ROWS = 250_000
 #: parts that the rows of a hot key are dealt to where they are joined
@@ -47,7 +47,10 @@ MISSING = ("", "NA", "nan", "ValueNotFound")
 
 def normalised(column: str) -> Column:
     """The value without blanks at its ends, null where it is missing."""
-    trimmed = F.btrim(F.col(column), F.lit(" \t"))
+    value = F.col(column)
+    # trimming by a set of characters is slow, and most values have no blanks at their ends
+    blank = value.startswith(" ") | value.startswith("\t") | value.endswith(" ") | value.endswith("\t")
+    trimmed = F.when(blank, F.btrim(value, F.lit(" \t"))).otherwise(value)
     return F.when(~trimmed.isin(*MISSING), trimmed)
 
 
@@ -254,7 +257,7 @@ def link_forest(values: list[str], batches: Iterator[tuple[np.ndarray, np.ndarra
     return edges
 
 
-ROUTED = "field string, shard int, passage int, id bigint, value string, learned boolean"
+ROUTED = "field string, shard int, passage int, id bigint, value string, asked boolean, learned boolean"
 
 
 def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -272,7 +275,7 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
             flag = lambda i: batch.column(i).to_numpy(zero_copy_only=False).astype(bool)
             row, shard, passage = routes(texts, flag(3), flag(4), shards, edits)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([fields.take(at), pa.array(shard, pa.int32()), pa.array(passage, pa.int32()), ids.take(at), batch.column(2).take(at), batch.column(5).take(at)], ["field", "shard", "passage", "id", "value", "learned"])
+            yield pa.RecordBatch.from_arrays([fields.take(at), pa.array(shard, pa.int32()), pa.array(passage, pa.int32()), ids.take(at), batch.column(2).take(at), batch.column(3).take(at), batch.column(5).take(at)], ["field", "shard", "passage", "id", "value", "asked", "learned"])
 
     routed = values.select("id", "field", "value", "asked", "searched", "learned").mapInArrow(route, ROUTED)
     load = routed.groupBy("field", "shard").agg(F.count_if(F.col("passage") >= 0).alias("m"), F.count_if(F.col("passage") < 0).alias("n"))
@@ -282,14 +285,14 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
     is_text = F.col("passage") < 0
     own = F.pmod(F.xxhash64("id"), F.when(is_text, F.col("nb")).otherwise(F.col("mb"))).cast("int")
     facing = F.explode(F.sequence(F.lit(0), F.when(is_text, F.col("mb")).otherwise(F.col("nb")) - 1))
-    met = sized.select("field", "shard", "passage", "id", "value", "learned", own.alias("own"), facing.alias("facing"))
-    met = met.select("field", "shard", "passage", "id", "value", "learned", F.when(is_text, F.col("facing")).otherwise(F.col("own")).alias("i"), F.when(is_text, F.col("own")).otherwise(F.col("facing")).alias("j"))
+    met = sized.select("field", "shard", "passage", "id", "value", "asked", "learned", own.alias("own"), facing.alias("facing"))
+    met = met.select("field", "shard", "passage", "id", "value", "asked", "learned", F.when(is_text, F.col("facing")).otherwise(F.col("own")).alias("i"), F.when(is_text, F.col("own")).otherwise(F.col("facing")).alias("j"))
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["id"].to_pylist(), table["passage"].to_pylist(), table["value"].to_pylist(), table["learned"].to_pylist()))
+        rows = sorted(zip(table["id"].to_pylist(), table["passage"].to_pylist(), table["value"].to_pylist(), table["asked"].to_pylist(), table["learned"].to_pylist()))
         place: dict[int, int] = {}
-        ids, values, parts, texts, learned = [], [], [], [], []
-        for key, passage, value, known in rows:
+        ids, values, parts, texts, both, learned = [], [], [], [], [], []
+        for key, passage, value, asked, known in rows:
             at = place.setdefault(key, len(ids))
             if at == len(ids):
                 ids.append(key)
@@ -298,8 +301,10 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
                 parts.append((at, passage))
             else:
                 texts.append(at)
+                both.append(asked)
                 learned.append(known)
-        text_at, known, mask = np.array(texts, np.int64), np.array(learned, bool), np.zeros(len(ids), np.int64)
+        text_at, asks = np.array(texts, np.int64), np.array(both, bool)
+        known, mask = np.array(learned, bool), np.zeros(len(ids), np.int64)
 
         def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if not parts or not texts:
@@ -313,9 +318,9 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
                 return
             for v, t, i in scanned(values, parts, [values[k] for k in texts], edits):
                 np.bitwise_or.at(mask, v[known[t]], 1 << i[known[t]])
-                pair = np.unique(v * len(ids) + text_at[t])
-                pair = pair[pair // len(ids) != pair % len(ids)]
-                yield pair // len(ids), pair % len(ids)
+                # two asked values find each other both ways: one is enough (ids ascend with the positions)
+                k = (v < text_at[t]) | ((v > text_at[t]) & ~asks[t])
+                yield v[k], text_at[t[k]]
 
         ends = np.array(link_forest(values, candidates(), edits), np.int64).reshape(-1, 2)
         covered, key = np.flatnonzero(mask), np.array(ids, np.int64)

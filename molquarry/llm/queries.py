@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molquarry.llm import clusters, neighbours, packing, quality, splits, subset, tokens
+from molquarry.llm import clusters, compounds, neighbours, oracle, packing, quality, splits, subset, tokens
 from molquarry.session import read_table
 
+SQL = oracle.SQL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -67,6 +69,16 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(read_table(spark, sf_dir, "dreher_dataset"), ENTITY, read_table(spark, sf_dir, "split_targets"))
 
 
+@query
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that share a ligand-additive or an additive-halide entity, in equal spelling, and the first
+    record of each such component."""
+    rows = read_table(spark, sf_dir, "dreher_dataset")
+    pair = lambda a, b: F.concat(compounds.normalised(a), F.lit("|"), compounds.normalised(b))
+    named = rows.select("row_id", pair("ligand", "additive").alias("entity"), pair("additive", "aryl_halide").alias("other"))
+    return splits.linked_firsts(named, "row_id", ["entity", "other"])
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_members(read_table(spark, sf_dir, "dreher_dataset"), ENTITY)
@@ -93,23 +105,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_quality(spark, sf_dir).where("is_case").select("doc_id")
+    return quality.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words")).where("is_case").select("doc_id")
 
 
 @query
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
-
-
-SQL: dict[str, str] = {
-    "p9_found": r"""
-WITH c AS (SELECT doc_id, l FROM (SELECT doc_id, trim(l, ' ' || chr(9) || chr(13)) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))
-  WHERE l <> '' AND NOT regexp_full_match(l, '[0-9]+') AND NOT contains(l, '-->')),
-e AS (SELECT doc_id, avg((right(l, 1) IN ('.', '!', '?', '…'))::INT) AS ended FROM c GROUP BY doc_id),
-w AS (SELECT doc_id, unnest(regexp_extract_all(l, '[^ \t\r\n]+')) AS w FROM c),
-s AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars, sum(length(regexp_replace(w, '[\p{L}0-9]', '', 'g'))) AS symbols,
-  avg((regexp_replace(lower(w), '^[^\p{L}]+|[^\p{L}]+$', '', 'g') IN (SELECT word FROM common_words))::INT) AS common FROM w GROUP BY doc_id)
-SELECT doc_id FROM s JOIN e USING (doc_id) WHERE n >= 5
-  AND (symbols / chars > 0.22)::INT + (common < 0.15)::INT + (ended < 0.25)::INT + (chars / n < 2.8 OR chars / n > 8.0)::INT >= 2
-""",
-}
+    rated = quality.quality_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+    return rated.withColumn("signs", F.array_join("signs", ","))

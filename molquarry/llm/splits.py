@@ -143,6 +143,13 @@ def linked_records(df: DataFrame, key: str, entities: list[str], keep: list[str]
     return out.select(key, *(keep or []), F.coalesce("component", alone).alias("component"))
 
 
+def linked_firsts(df: DataFrame, key: str, entities: list[str]) -> DataFrame:
+    """(key, first_<key>): the smallest key of each record's component."""
+    linked = cut(linked_records(df, key, entities))
+    firsts = linked.groupBy("component").agg(F.min(key).alias(f"first_{key}"))
+    return compounds.salted_join(linked, firsts, ["component"], key).select(key, f"first_{key}")
+
+
 def assign_splits(df: DataFrame, fields: list[str], targets: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
     """(key, component, assigned_split): records of one entity (one class in every field) share a
     split, dealt by a hash in the shares of targets (split_name, target_share)."""

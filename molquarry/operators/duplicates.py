@@ -27,12 +27,12 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def by_last_column(df: DataFrame, columns: list[str]) -> DataFrame:
     """(last column, rows): rows in groups of two or more equal in all columns but the last, counted by
-    the last. Rows are pre-aggregated with the last column, so a hot prefix stays small."""
+    the last: all rows by the last column, less those whose prefix no other row has. Aggregates alone:
+    no group is listed and no prefix is joined back."""
     *prefix, last = columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy(*prefix).agg(F.sum("n").alias("size"), F.collect_list(F.struct(last, "n")).alias("parts"))
-    parts = sizes.where("size >= 2").select(F.explode("parts").alias("p")).select(f"p.{last}", "p.n")
-    return parts.groupBy(last).agg(F.sum("n").alias("rows"))
+    alone = df.groupBy(*prefix).agg(F.count(F.lit(1)).alias("n"), F.min(last).alias(last)).where("n = 1")
+    signed = df.select(last, F.lit(1).alias("n")).unionByName(alone.select(last, F.lit(-1).alias("n")))
+    return signed.groupBy(last).agg(F.sum("n").alias("rows")).where("rows > 0")
 
 
 def value_domain(df: DataFrame, columns: list[str], name: str = "value") -> DataFrame:

@@ -56,10 +56,34 @@ def pattern_counts(df: DataFrame, column: str, patterns: list[str], match: bool
 
 
 def hashed_fingerprint(column: str, bits: int = 64, gram: int = 3) -> Column:
-    """Bits of the hashed character n-grams of a text; null and shorter texts have none."""
+    """Bits of the hashed character n-grams of a text; null and shorter texts have none. The places are
+    hashed once, sorted and laid out with runs of zeros between them: linear in n-grams and bits."""
     text = F.coalesce(F.col(column), F.lit(""))
-    grams = F.when(F.length(text) >= gram, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: hash32(F.substr(text, i, F.lit(gram))) % bits)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.array_contains(grams, b.cast("bigint")).cast("tinyint"))
+    zero, one = F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint")
+    grams = F.when(F.length(text) >= gram, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: (hash32(F.substr(text, i, F.lit(gram))) % bits).cast("int"))).otherwise(F.array().cast("array<int>"))
+    places = F.array_sort(F.array_distinct(grams))
+
+    def laid_out(p: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(p, i - 1))
+        runs = F.transform(p, lambda at, i: F.concat(F.array_repeat(zero, at - before(i) - 1), F.array(one)))
+        rest = F.lit(bits - 1) - F.coalesce(F.get(p, F.size(p) - 1), F.lit(-1))
+        return F.concat(F.flatten(runs), F.array_repeat(zero, rest))
+
+    # the lambda's variable holds the places, so that they are worked out once
+    return F.get(F.transform(F.array(places), laid_out), F.lit(0))
+
+
+# fixed values: atomic weights of the elements that line notations here use
+WEIGHTS = {"B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Si": 28.086, "P": 30.974, "S": 32.06, "Cl": 35.45, "Se": 78.971, "Br": 79.904, "I": 126.904}
+#: element symbols of a line notation; two-letter ones outside brackets are Cl and Br alone
+HEAVY_ATOM = r"(\[[0-9]*Si|\[[0-9]*Se|Cl|Br|[BCNOPSFI]|[bcnops])"
+
+
+def heavy_atom_weight(column: str) -> Column:
+    """The summed weight of the atoms of a line notation but hydrogen; null for null."""
+    table = F.create_map(*(v for e, w in WEIGHTS.items() for v in (F.lit(e.lower()), F.lit(w))))
+    atoms = F.regexp_extract_all(F.col(column), F.lit(HEAVY_ATOM), F.lit(1))
+    return F.aggregate(atoms, F.lit(0.0), lambda total, a: total + F.coalesce(F.try_element_at(table, F.lower(F.regexp_replace(a, r"[\[0-9]", ""))), F.lit(0.0)))
 
 
 @dataclass(frozen=True)

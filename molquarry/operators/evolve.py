@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molquarry.functions.values import signed_square
+from molquarry.functions.tokens import regex_tokens
+from molquarry.functions.values import is_value, signed_square
 
 BONDS = ("-", "=", "#", ":")
 
@@ -109,6 +111,49 @@ def diversity(df: DataFrame, vector: str) -> DataFrame:
     return found.select((2 * F.col("pairs") + F.col("n")).alias("collisions"), ((2 * F.col("pairs") + F.col("n")) / (F.col("n") * F.col("n")).cast("double")).alias("diversity"))
 
 
+def diversity_score(df: DataFrame, vectors: list[str], target: float) -> DataFrame:
+    """(collisions, ratio, score): as diversity() over the vectors of several columns; each column adds its
+    own collisions and one of each row with itself, the ratio is over (rows x columns)^2, and
+    the score says how near the ratio comes to the target."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(v).alias("v")) for i, v in enumerate(vectors)))).alias("e")
+    cells = df.select(each).select("e.c", F.posexplode("e.v").alias("pos", "x")).groupBy("c", "pos", "x").agg(F.count(F.lit(1)).alias("k"))
+    pairs = F.sum(F.col("k") * (F.col("k") - 1)).cast("bigint")
+    rows = df.agg((F.count(F.lit(1)) * len(vectors)).alias("n"))
+    found = cells.agg(pairs.alias("pairs")).join(F.broadcast(rows)).select((F.coalesce("pairs", F.lit(0)) + F.col("n")).alias("collisions"), "n")
+    ratio = F.try_divide(F.col("collisions").cast("double"), F.col("n").cast("double") * F.col("n"))
+    return found.select("collisions", ratio.alias("ratio"), (1 - F.abs(ratio - F.lit(target))).alias("score"))
+
+
+def primitive_pool(df: DataFrame, column: str) -> DataFrame:
+    """(primitive, kind, rows, least, most, relevant): what patterns can be made of, from the data: every token
+    of the line notations with the number of rows that hold it, its least and most occurrences in a
+    row, and whether these differ. Atoms are kept in any case, other tokens where they are relevant.
+    Counts are taken within rows before they are shuffled; nulls and missing values are left out."""
+    text = df.where(is_value(column)).select(regex_tokens(F.col(column)).alias("t"))
+    total = text.agg(F.count(F.lit(1)).alias("n"))
+    distinct = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("primitive"), F.size(F.filter("t", lambda x: x == w)).alias("k")))
+    counted = text.select(F.explode(distinct).alias("x")).select("x.*").groupBy("primitive").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("low"), F.max("k").alias("most"))
+    least = F.when(F.col("rows") < F.col("n"), F.lit(0)).otherwise(F.col("low"))
+    atom = F.col("primitive").rlike(r"^(\[.+\]|[A-Za-z]{1,2})$")
+    out = counted.join(F.broadcast(total)).select("primitive", F.when(atom, "atom").otherwise("other").alias("kind"), "rows", least.alias("least"), "most", (least != F.col("most")).alias("relevant"))
+    return out.where((F.col("kind") == "atom") | F.col("relevant"))
+
+
+def atoms_of(pool: DataFrame) -> list[str]:
+    """The atoms of a pool, the most common first: a vocabulary, not data."""
+    return [r["primitive"] for r in pool.where("kind = 'atom'").orderBy(F.desc("rows"), "primitive").limit(1_000).collect()]
+
+
+def subset_pairs(df: DataFrame, genome: str, gene: str) -> DataFrame:
+    """(genome, other): pairs of genomes of which one's genes are all among the other's. Genomes meet by a
+    shared gene; counts of shared genes are compared with sizes, nothing is listed."""
+    cells = df.where(F.col(genome).isNotNull() & F.col(gene).isNotNull()).select(genome, gene).distinct()
+    sizes = cells.groupBy(genome).agg(F.count(F.lit(1)).alias("_n"))
+    met = cells.join(cells.withColumnRenamed(genome, "other"), gene).where(F.col(genome) != F.col("other"))
+    shared = met.groupBy(genome, "other").agg(F.count(F.lit(1)).alias("_shared"))
+    return shared.join(sizes, genome).where("_shared = _n").select(genome, "other")
+
+
 WEIGHTINGS = ("average", "average_pow", "norm_max", "norm_max_pow", "norm_asList", "norm_asList_pow")
 
 
@@ -259,6 +304,75 @@ def population_frame(spark, step: int, people: list[Genome]) -> DataFrame:
     return spark.createDataFrame(rows, "step int, member int, gene_idx int, gene string, fitness double")
 
 
+def save_step(spark, folder: str, step: int, people: list[Genome]) -> None:
+    """One folder a step, written whole or not at all."""
+    population_frame(spark, step, people).coalesce(1).write.mode("overwrite").parquet(f"{folder}/step={step}")
+
+
+def newest_step(spark, folder: str) -> tuple[int, list[Genome]] | None:
+    """(step, members in their order) of the newest saved step, None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        held = spark.read.option("basePath", folder).schema("step int, member int, gene_idx int, gene string, fitness double").parquet(folder)
+        last = held.agg(F.max("step")).first()[0]
+    except AnalysisException:
+        return None
+    if last is None:
+        return None
+    members: dict[int, list] = {}
+    for r in held.where(F.col("step") == last).orderBy("member", "gene_idx").collect():
+        members.setdefault(r["member"], []).append((r["gene"], r["fitness"]))
+    return last, [Genome([read_pattern(g) for g, _ in genes], genes[0][1]) for _, genes in sorted(members.items())]
+
+
+def read_pattern(text: str) -> Pattern:
+    """The pattern of a text as Pattern.text() writes it."""
+    atoms, bonds, at = [], [], 0
+    while at < len(text):
+        if atoms:
+            bonds.append(text[at] if text[at] in BONDS else "-")
+            at += text[at] in BONDS
+        found = re.match(r"\[[^\]]+\]|Br|Cl|.", text[at:])
+        if not found:
+            raise ValueError(f"no pattern: {text}")
+        atoms.append(found.group())
+        at += found.end()
+    return Pattern(tuple(atoms), tuple(bonds))
+
+
+def resumed(search: Evolution, spark, folder: str, steps: int) -> Genome:
+    """Run to `steps` in all, from the newest saved step where there is one; every step is saved."""
+    found = newest_step(spark, folder)
+    start = found[0] if found else 0
+    return search.run(max(0, steps - start), found[1] if found else None, lambda step, people: save_step(spark, folder, start + step, people))
+
+
+def model_fitness(df: DataFrame, column: str, target: str, splits: list, metric: str = "mae") -> Callable[[list[Genome]], list[float]]:
+    """A fitness by a model: each genome is encoded, a linear model is fit on the training rows of each
+    split (predicates that say which rows are test rows), and the metric's mean over the splits is
+    taken, negative where less is better. A genome whose model fails has 0."""
+    from molquarry.operators.metrics import DIRECTIONS, LOWER, ONE, MetricStack
+    from molquarry.operators.models import TrainEval
+
+    def measure(genomes: list[Genome]) -> list[float]:
+        out = []
+        for genome in genomes:
+            coded = encode_genome(df, column, genome, match=False, name="_features")
+            try:
+                job = TrainEval("linear_regression", "_features", target, MetricStack((metric,)))
+                values = [job.run(coded.withColumn("role", F.when(test, "test").otherwise("train")))[2].where("role = 'test'").first()[metric] for test in splits]
+                mean = sum(values) / len(values)
+            except Exception:  # what a model raises is its library's choice
+                out.append(0.0)
+                continue
+            direction = DIRECTIONS[metric]
+            out.append(-mean if direction == LOWER else -abs(1 - mean) if direction == ONE else mean)
+        return out
+
+    return measure
+
+
 def best_members(population: DataFrame, n: int) -> DataFrame:
     ranked = population.select("member", "fitness").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.desc("fitness"), "member")))
     return ranked.where(F.col("r") <= n).drop("r")

@@ -40,6 +40,7 @@ def binary(y: str = "y", p: str = "p", positive: object = 1) -> dict[str, Column
     return {
         "accuracy": right,
         "zero_one_loss": 1 - right,
+        "accuracy_count": F.sum((F.col(y) == F.col(p)).cast("long")).cast("double"),
         "hamming_loss": F.avg((F.col(y) != F.col(p)).cast("double")),
         "precision": _ratio(tp, tp + fp),
         "recall": _ratio(tp, tp + fn),
@@ -51,11 +52,15 @@ def binary(y: str = "y", p: str = "p", positive: object = 1) -> dict[str, Column
 
 DIRECTIONS = {
     "r2": ONE, "mae": LOWER, "mse": LOWER, "max_error": LOWER, "explained_variance": HIGHER, "accuracy": HIGHER, "zero_one_loss": LOWER,
-    "hamming_loss": LOWER, "precision": ONE, "recall": ONE, "f1": HIGHER, "jaccard": HIGHER, "matthews": HIGHER, "balanced_accuracy": HIGHER,
+    "accuracy_count": HIGHER, "hamming_loss": LOWER, "precision": ONE, "recall": ONE, "f1": HIGHER, "jaccard": HIGHER, "matthews": HIGHER, "balanced_accuracy": HIGHER,
     "specificity": ONE, "specificity_matrix": HIGHER, "recall_matrix": HIGHER, "roc_auc": ONE, "confusion_matrix": MIXED, "roc_curve": MIXED,
 }
 
 
+def _item(metric: str, item: Column | None, value: Column) -> Column:
+    return F.struct(F.lit(metric).alias("metric"), (F.lit(None) if item is None else item).cast("string").alias("item"), value.cast("double").alias("value"))
+
+
 @dataclass
 class MetricStack:
     """Named aggregate expressions, computed together; equal if names and settings are equal."""
@@ -69,8 +74,43 @@ class MetricStack:
 
     def expressions(self, y: str = "y", p: str = "p") -> dict[str, Column]:
         known = regression(y, p) | binary(y, p, self.settings.get("positive", 1))
+        if beyond := [n for n in self.names if n not in known]:
+            raise ValueError(f"{beyond} are no single aggregates: use calculate_all")
         return {n: known[n] for n in self.names}
 
+    def calculate_all(self, df: DataFrame, y: str = "y", p: str = "p", score: str = "score") -> DataFrame:
+        """(metric, item, value) of any metrics. Scalars have no item; matrices have one row a label (or a
+        pair of labels), a curve two a threshold. Aggregates share one pass, label metrics the cell
+        counts; roc_auc and roc_curve read the score column."""
+        positive = self.settings.get("positive", 1)
+        single = [n for n in self.names if n in regression(y, p) | binary(y, p, positive)]
+        parts = []
+        if single:
+            row = df.agg(*(e.alias(n) for n, e in MetricStack(tuple(single), self.settings).expressions(y, p).items()))
+            parts.append(row.select(F.explode(F.array(*(_item(n, None, F.col(n)) for n in single))).alias("x")).select("x.*"))
+        for n in self.names:
+            if n == "balanced_accuracy":
+                parts.append(balanced_accuracy(df, y, p).select(_item(n, None, F.col(n)).alias("x")).select("x.*"))
+            elif n == "specificity":
+                parts.append(specificity(df, self.settings.get("average", "macro"), y, p).select(_item(n, None, F.col(n)).alias("x")).select("x.*"))
+            elif n in ("recall_matrix", "specificity_matrix"):
+                of = recall_matrix if n == "recall_matrix" else specificity_matrix
+                parts.append(of(df, y, p).select(_item(n, F.col("label"), F.col(n.removesuffix("_matrix"))).alias("x")).select("x.*"))
+            elif n == "confusion_matrix":
+                parts.append(cells(df, y, p).select(_item(n, F.concat_ws("/", "y", "p"), F.col("n")).alias("x")).select("x.*"))
+            elif n == "roc_auc":
+                parts.append(roc_auc(df, y, score, positive).select(_item(n, None, F.col(n)).alias("x")).select("x.*"))
+            elif n == "roc_curve":
+                at = F.when(F.col("threshold") == float("inf"), "inf").otherwise(F.format_string("%.6f", "threshold"))
+                both = F.array(_item(n, F.concat(at, F.lit(":fpr")), F.col("fpr")), _item(n, F.concat(at, F.lit(":tpr")), F.col("tpr")))
+                parts.append(roc_curve(df, y, score, positive).select(F.explode(both).alias("x")).select("x.*"))
+            elif n not in single:
+                raise ValueError(f"no metric {n}")
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def calculate(self, df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, nulls: str = "raise") -> DataFrame:
         """One row (one for each group of `by`) with a column for each metric. Null labels or
         predictions raise when the result is computed, unless nulls is 'drop'."""
@@ -118,6 +158,14 @@ def specificity(df: DataFrame, average: str = "macro", y: str = "y", p: str = "p
     return rates.agg(F.avg(F.try_divide(F.col("tn").cast("double"), F.col("tn") + F.col("fp"))).alias("specificity"))
 
 
+def recall_score(df: DataFrame, average: str = "macro", y: str = "y", p: str = "p") -> DataFrame:
+    """(recall): the mean over labels (macro), or over all rows (micro)."""
+    rates = label_rates(df, y, p)
+    if average == "micro":
+        return rates.agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("recall"))
+    return rates.agg(F.avg(_ratio(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))).alias("recall"))
+
+
 def balanced_accuracy(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """The mean of macro specificity and macro recall."""
     rates = label_rates(df, y, p)
@@ -126,8 +174,20 @@ def balanced_accuracy(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return rates.agg(((F.avg(s) + F.avg(r)) / 2).alias("balanced_accuracy"))
 
 
-def confusion_matrix(df: DataFrame, labels: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """One row a label (column y) with a count for each predicted label, zero cells included."""
+#: labels of a confusion matrix, which become its columns
+MOST_LABELS = 1_000
+
+
+def confusion_matrix(df: DataFrame, labels: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
+    """One row a label (column y) with a count for each predicted label, zero cells included. Without
+    labels they are all that are true or predicted; given ones must hold all of them."""
+    held = sorted(r[0] for r in cells(df, y, p).select(F.explode(F.array("y", "p")).alias("label")).where("label IS NOT NULL").distinct().limit(MOST_LABELS + 1).collect())
+    if len(held) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if labels is None:
+        labels = held
+    elif not set(held) <= set(labels):
+        raise ValueError(f"labels beyond the given ones: {sorted(set(held) - set(labels))[:5]}")
     grid = df.sparkSession.createDataFrame([(a,) for a in labels], "y string")
     counted = cells(df, y, p).groupBy("y").pivot("p", labels).agg(F.sum("n"))
     out = grid.join(counted, "y", "left")

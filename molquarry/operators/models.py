@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.operators.metrics import MetricStack
@@ -52,44 +51,66 @@ class TrainEval:
         """(model, predictions with y and p, one metric row for each role)."""
         rows = prepared(df, self.features, self.label)
         model = estimator(self.kind, **self.parameters).fit(rows.where(F.col(self.role) == "train"))
-        predicted = model.transform(rows).withColumn("y", F.col("_y")).drop("_x", "_y", "rawPrediction", "probability")
+        predicted = with_probability(model.transform(rows).withColumn("y", F.col("_y"))).drop("_x", "_y")
         return model, predicted, self.metrics.calculate(predicted, by=[self.role])
 
 
+def with_probability(scored: DataFrame) -> DataFrame:
+    """Class probabilities as a plain array, where a model gives any."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = scored.drop("rawPrediction")
+    return out.withColumn("probability", vector_to_array("probability")) if "probability" in scored.columns else out
+
+
 def predict(model, df: DataFrame, features: str) -> DataFrame:
-    """All rows of df with p."""
+    """All rows of df with p, and with probability for classifiers."""
     from pyspark.ml.functions import array_to_vector
 
-    return model.transform(df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))).drop("_x", "rawPrediction", "probability")
+    return with_probability(model.transform(df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>"))))).drop("_x")
 
 
 class Checkpoints:
     """A folder of named results with a manifest; the newest `keep` stay (-1: all), a name that
-    exists raises. The manifest is a small driver-side file, the results are tables."""
+    exists raises. Tables and manifest lie on the folder's own file system, which all executors share."""
 
     def __init__(self, folder: str, keep: int = 3):
-        self.folder, self.keep = Path(folder), keep
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.manifest = self.folder / "manifest.json"
+        self.folder, self.keep = folder.rstrip("/"), keep
+
+    def _files(self):
+        """(the folder's file system, a function from a name to its path)."""
+        spark = SparkSession.active()
+        jvm = spark.sparkContext._jvm
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def entries(self) -> list[dict]:
-        return json.loads(self.manifest.read_text()) if self.manifest.exists() else []
+        files, path = self._files()
+        if not files.exists(path("manifest.json")):
+            return []
+        stream = files.open(path("manifest.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def save(self, name: str, table: DataFrame, **meta) -> None:
-        import shutil
-
         held = self.entries()
         if any(e["name"] == name for e in held):
             raise ValueError(f"the checkpoint {name} exists")
-        table.write.parquet(str(self.folder / name))
+        files, path = self._files()
+        table.write.mode("overwrite").parquet(f"{self.folder}/{name}")  # what a broken save left is no entry
         held.append({"name": name, "meta": meta})
-        while 0 <= self.keep < len(held):
-            shutil.rmtree(self.folder / held.pop(0)["name"], ignore_errors=True)
-        self.manifest.write_text(json.dumps(held))
+        old = [held.pop(0)["name"] for _ in range(max(0, len(held) - self.keep) if self.keep >= 0 else 0)]
+        stream = files.create(path("manifest.json"), True)
+        stream.write(bytearray(json.dumps(held).encode()))
+        stream.close()
+        for gone in old:
+            files.delete(path(gone), True)
 
     def newest(self, spark) -> tuple[dict, DataFrame] | None:
         held = self.entries()
-        return (held[-1], spark.read.parquet(str(self.folder / held[-1]["name"]))) if held else None
+        return (held[-1], spark.read.parquet(f"{self.folder}/{held[-1]['name']}")) if held else None
 
 
 def train_in_batches(step, batches, epochs: int, checkpoints: Checkpoints, state: DataFrame, every: int = 1):

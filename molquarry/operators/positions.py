@@ -1,21 +1,21 @@
-"""Row positions and running totals without a single-task window.
+"""Row positions, running totals and the n smallest hashes without a single-task window.
 
 A global order is made by a range-partitioned sort that is checkpointed; the rows of one partition
-then only need that partition's offset. The offsets are as many numbers as there are partitions.
+then only need that partition's offset, which is joined by its number from a table of one row a partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molquarry.session import cut
 
 _PLACE = (1 << 33) - 1
+#: bits of a hash that one pass of smallest() narrows down
+_STEPS = (20, 8, 0)
 
 
 def _ordered(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -24,23 +24,25 @@ def _ordered(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return cut(numbered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_seq", F.col("_at").bitwiseAND(F.lit(_PLACE))).drop("_at"))
 
 
-def _offset(counts: dict[int, int | float], default: int | float = 0) -> Column:
-    """The sum of the counts of the partitions before each row's."""
-    if not counts:
-        return F.lit(default)
-    ends, total = {}, default
-    for part in sorted(counts):
-        ends[part] = total
-        total += counts[part]
-    pairs = [v for part, before in ends.items() for v in (F.lit(part).cast("bigint"), F.lit(before))]
-    return F.element_at(F.create_map(*pairs), F.col("_part"))
+def _with_offsets(held: DataFrame, sums: list, columns: list[str], kind: str) -> DataFrame:
+    """held with _before_<column>: the sums of the partitions before each row's. One short row a
+    partition of the sort is broadcast."""
+    zero = 0.0 if kind == "double" else 0
+    rows, total = [], [zero] * len(columns)
+    for r in sorted(sums, key=lambda r: r["_part"]):
+        rows.append((r["_part"], *total))
+        total = [t + (r[c] or zero) for t, c in zip(total, columns)]
+    table = held.sparkSession.createDataFrame(rows, "_part bigint, " + ", ".join(f"`_before_{c}` {kind}" for c in columns))
+    return held.join(F.broadcast(table), "_part")
 
 
 def dense_positions(df: DataFrame, order: list[str | Column], name: str = "row_id") -> DataFrame:
-    """df with its 0-based position in the given order (which should be total)."""
+    """df with its 0-based position in the given order (which should be total). Give it only the columns
+    that are needed: all of them are sorted and checkpointed."""
     held = _ordered(df, order)
-    counts = {r[0]: r[1] for r in held.groupBy("_part").count().collect()}
-    return held.withColumn(name, (F.col("_seq") + _offset(counts)).cast("bigint")).drop("_part", "_seq")
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
+    placed = _with_offsets(held, counts, ["n"], "bigint")
+    return placed.withColumn(name, F.col("_seq") + F.col("_before_n")).select(*(c for c in df.columns if c != name), name)
 
 
 def running_totals(df: DataFrame, order: list[str | Column], columns: list[str], prefix: str = "cum_") -> DataFrame:
@@ -48,21 +50,57 @@ def running_totals(df: DataFrame, order: list[str | Column], columns: list[str],
     cast to double. Whole numbers are exact up to 2^53."""
     held = _ordered(df, order)
     sums = held.groupBy("_part").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in columns)).collect()
-    before = {c: _offset({r["_part"]: r[c] or 0.0 for r in sums}, 0.0) for c in columns}
-    first = len(held.columns)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = np.zeros(len(columns))
-        for batch in batches:
-            for i in range(len(columns)):
-                whole = np.cumsum(np.nan_to_num(batch.column(first + i).to_numpy(zero_copy_only=False))) + carried[i]
-                if len(whole):
-                    carried[i] = whole[-1]
-                batch = batch.set_column(first + i, f"_t{i}", pa.array(whole, pa.float64()))
-            yield batch
-
-    wide = held.select("*", *(F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(columns)))
-    out = wide.mapInArrow(add, wide.schema)
-    for i, c in enumerate(columns):
-        out = out.withColumn(prefix + c, F.col(f"_t{i}") + before[c])
-    return out.drop("_part", "_seq", *(f"_t{i}" for i in range(len(columns))))
+    within = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _with_offsets(held, sums, columns, "double")
+    own = lambda c: F.coalesce(F.sum(F.col(c).cast("double")).over(within), F.lit(0.0))
+    return out.select(*df.columns, *((own(c) + F.col(f"_before_{c}")).alias(prefix + c) for c in columns))
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The n smallest rows by (hash, key) are those of inside()."""
+
+    hash: int
+    key: object
+
+    def inside(self, hashed: Column, key: str) -> Column:
+        return (hashed < F.lit(self.hash)) | ((hashed == F.lit(self.hash)) & (F.col(key) <= F.lit(self.key)))
+
+
+def smallest(df: DataFrame, hashes: list[Column], key: str, n: int) -> list[Cut | None]:
+    """For each hash (in [0, 2^32)) the cut below which the n smallest rows lie (all where there are no
+    more), None where there are none. No sort: three histograms of at most 4,096
+    counts a hash narrow the cut down, and only rows of one hash value are ordered by key."""
+    if n <= 0:
+        return [None] * len(hashes)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), h.alias("h")) for i, h in enumerate(hashes))))
+    flat = df.select(key, each.alias("x")).select(key, "x.i", "x.h")
+    low: dict[int, int | None] = dict.fromkeys(range(len(hashes)))
+    left = dict.fromkeys(range(len(hashes)), n)
+    before = None
+    for shift in _STEPS:
+        rows = flat
+        if before is not None:
+            mine = F.lit(False)
+            for i, at in low.items():
+                mine = mine | ((F.col("i") == i) & (F.shiftright("h", before) == at))
+            rows = flat.where(mine)
+        found: dict[int, list] = {i: [] for i in low}
+        for r in rows.groupBy("i", F.shiftright("h", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            found[r["i"]].append((r["b"], r["n"]))
+        for i, counts in found.items():
+            left[i] = min(left[i], sum(count for _, count in counts))
+            for b, count in sorted(counts):
+                low[i] = b
+                if count >= left[i]:
+                    break
+                left[i] -= count
+        before = shift
+    out = []
+    for i, at in low.items():
+        if at is None:
+            out.append(None)
+            continue
+        ties = flat.where((F.col("i") == i) & (F.col("h") == at)).select(key).orderBy(key).limit(left[i]).collect()
+        out.append(Cut(at, ties[-1][0]))
+    return out

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molquarry.functions.values import is_value, unit_hash
-from molquarry.operators.positions import dense_positions
+from molquarry.functions.values import hash32, is_value
+from molquarry.operators.positions import dense_positions, smallest
 from molquarry.session import cut
 
 #: positions beyond this number are joined instead of broadcast
 BROADCAST_POSITIONS = 1_000_000
+#: results of a kernel that take more are joined instead of broadcast
+BROADCAST_BYTES = 64 << 20
 
 
 def rows_between(df: DataFrame, start: int, end: int, row_id: str = "row_id") -> DataFrame:
@@ -55,8 +57,11 @@ def renumbered(df: DataFrame, keep: Column, order: list[str], name: str = "ID")
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all) without replacement: those of the least seeded hash of the key."""
-    return df.orderBy(unit_hash(F.lit(str(seed)), F.col(key)), key).limit(n)
+    """Exactly n rows (or all) without replacement: those of the least seeded hash of the (unique, not
+    null) key, found by a cut value, so that no task holds the sample."""
+    hashed = hash32(F.lit(str(seed)), F.col(key))
+    found = smallest(df, [hashed], key, n)[0]
+    return df.where(found.inside(hashed, key)) if found else df.limit(0)
 
 
 def feature_width(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,5 +112,6 @@ def encode_distinct(df: DataFrame, column: str, function: Callable, kind: str, n
             yield chunk.assign(**{name: [function(v) for v in chunk[column]]})
 
     coded = cut(values.mapInPandas(run, f"{column} {df.schema[column].dataType.simpleString()}, {name} {kind}"))
-    small = coded.count() <= BROADCAST_POSITIONS // 10
-    return df.join(F.broadcast(coded) if small else coded, column, "left")
+    size = F.octet_length(F.col(column).cast("string")) + (F.octet_length(F.col(name)) if kind == "string" else 8 * F.size(name) if kind.startswith("array") else F.lit(8))
+    held = coded.agg(F.sum(F.coalesce(size, F.lit(0)) + 32)).first()[0] or 0
+    return df.join(F.broadcast(coded) if held <= BROADCAST_BYTES else coded, column, "left")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.functions.values import hash32
-from molquarry.operators.positions import dense_positions
+from molquarry.operators.positions import dense_positions, smallest
 
 
 def all_train(df: DataFrame) -> DataFrame:
@@ -37,13 +37,12 @@ def by_shuffle(df: DataFrame, n_splits: int = 1, seed: int = 42, test_size: floa
     """(row_id, split, role): independent splits, each a pure function of (seed, split, row_id)."""
     rows = df.count() if rows is None else rows
     size = test_count(rows, test_size, train_size)
-    out = None
-    for k in range(n_splits):
-        hashed = df.select(row_id, hash32(F.lit(seed), F.lit(k), F.col(row_id)).alias("_h"))
-        placed = dense_positions(hashed, ["_h", row_id], "_p")
-        one = placed.select(row_id, F.lit(k).alias("split"), F.when(F.col("_p") < size, "test").otherwise("train").alias("role"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    hashes = [hash32(F.lit(seed), F.lit(k), F.col(row_id)) for k in range(n_splits)]
+    cuts = smallest(df, hashes, row_id, size)
+    # a split is known by its cut value: no row is sorted or moved
+    roles = [F.when(c.inside(h, row_id), "test").otherwise("train") if c else F.lit("train") for c, h in zip(cuts, hashes)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("split"), r.alias("role")) for k, r in enumerate(roles))))
+    return df.select(row_id, each.alias("x")).select(row_id, "x.split", "x.role")
 
 
 def by_fold(df: DataFrame, k: int, rows: int, row_id: str = "row_id") -> DataFrame:
@@ -60,6 +59,13 @@ def nested(df: DataFrame, outer: tuple[int, int], inner: tuple[int, int], row_id
     return split.join(within, row_id, "left")
 
 
+def nested_roles(df: DataFrame, outer: list[Column], inner: list[Column]) -> DataFrame:
+    """df with (outer, inner, role): every pair of splitters. A splitter is a predicate that says which rows
+    are test rows; role is outer_test, inner_test or train, and inner ones only part the outer training rows."""
+    each = F.explode(F.array(*(F.struct(F.lit(o).alias("outer"), F.lit(i).alias("inner"), F.when(a, "outer_test").when(b, "inner_test").otherwise("train").alias("role")) for o, a in enumerate(outer) for i, b in enumerate(inner))))
+    return df.withColumn("_x", each).select(*df.columns, "_x.*")
+
+
 def batches(df: DataFrame, size: int, skip: int = 0, row_id: str = "row_id") -> DataFrame:
     """(row_id, batch_id) of consecutive batches in row order; the first `skip` are left out."""
     if size <= 0:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from molquarry.functions.tokens import PATTERN, VOCABULARY
+from molquarry.operators.encoders import HEAVY_ATOM, WEIGHTS
 from molquarry.plans.queries import PATTERNS, PRIORITIES
 
 EVENTS = "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events)"
@@ -42,6 +43,7 @@ DUPS = "l_quantity, l_discount, l_returnflag, l_linestatus"
 SIZES = f"(SELECT {DUPS}, count(*) AS size FROM lineitem GROUP BY {DUPS})"
 SCORES = "(SELECT o_orderstatus AS member, o_orderpriority AS dataset, round(avg(o_totalprice) / 1000 - 150, 6) AS score FROM orders GROUP BY 1, 2)"
 TOKENS = f"CASE WHEN smiles IS NOT NULL THEN regexp_extract_all(smiles, '{PATTERN}', 1) END"
+ROOM = f"(SELECT max(len({TOKENS})) + 2 FROM lipophilicity)::BIGINT"
 _ids = f"list_transform(t, lambda w: coalesce(list_position({_list(VOCABULARY)}, w) - 1, 2))"
 
 
@@ -63,6 +65,16 @@ def fingerprint(column: str, n_bits: int, gram: int) -> str:
     return f"array_to_string(list_transform(range({n_bits}), lambda b: list_contains({g}, b)::INT), '')"
 
 
+REACTION_BITS = """
+WITH r AS (SELECT row_id, concat_ws('.', aryl_halide, ligand) || '>' || concat_ws('.', base) || '>' || concat_ws('.', additive) AS x FROM dreher_dataset),
+g AS (SELECT DISTINCT row_id, substr(x, i, 3) AS g FROM (SELECT row_id, x, unnest(range(1, greatest(1, length(x) - 1))) AS i FROM r)),
+h AS (SELECT g, ('0x' || substr(md5(g), 1, 8))::BIGINT % 2048 AS b FROM (SELECT DISTINCT g FROM g)),
+s AS (SELECT row_id, bitstring_agg(b::INT, 0, 2047)::VARCHAR AS bits FROM g JOIN h USING (g) GROUP BY row_id)
+SELECT row_id, coalesce(bits, repeat('0', 2048)) AS bits FROM r LEFT JOIN s USING (row_id)
+"""
+_cases = " ".join(f"WHEN '{e.lower()}' THEN {w}::DOUBLE" for e, w in WEIGHTS.items())
+_weight = rf"coalesce(list_sum(list_transform(regexp_extract_all(smiles, '{HEAVY_ATOM}', 1), lambda a: CASE lower(regexp_replace(a, '[\[0-9]', '', 'g')) {_cases} ELSE 0.0::DOUBLE END)), 0.0::DOUBLE)"
+
 BRACKET = r"\[[0-9]*(?:[A-Z][a-z]?|[bcnops])@{0,2}(?:H[0-9]?)?(?:[+-][0-9]?)?\]"
 ATOMS = rf"(?:{BRACKET}|Cl|Br|[BCNOPSFIbcnops]|[-=#:/\\.]|[()]|%[0-9][0-9]|[0-9])+"
 
@@ -79,17 +91,60 @@ def invalid(value: str, optional: bool) -> str:
     return f"(NOT {missing} AND NOT {sound})" if optional else f"({missing} OR NOT {sound})"
 
 
-P1_FOUND = f"""
+P1_LINES = f"""
 WITH l AS (SELECT line_id, CASE WHEN ends_with(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS x FROM dreher_raw WHERE line_no > 1),
 q AS (SELECT line_id, x, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS quoted FROM l),
 f AS (SELECT line_id, quoted, CASE WHEN quoted THEN regexp_extract_all(x || ',', '(?s)("(?:[^"]|"")*"|[^",]*),', 1) ELSE [] END AS raw FROM q),
-v AS (SELECT line_id, quoted, len(raw) AS n, list_transform(raw, lambda r: trim(CASE WHEN starts_with(r, '"') THEN replace(r[2:-2], '""', '"') ELSE r END, ' ' || chr(9))) AS t FROM f),
-r AS (SELECT line_id, CASE WHEN quoted IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 5 THEN 'columns' WHEN {" OR ".join(invalid(f"t[{i}]", i == 2) for i in (1, 2, 3, 4))} THEN 'value' END AS reason FROM v)
-SELECT line_id, reason FROM r WHERE reason IS NOT NULL
+v AS (SELECT line_id, quoted, len(raw) AS n, list_transform(raw, lambda r: CASE WHEN starts_with(r, '"') THEN replace(r[2:-2], '""', '"') ELSE r END) AS u FROM f),
+w AS (SELECT *, list_transform(u, lambda r: trim(r, ' ' || chr(9))) AS t FROM v),
+r AS (SELECT line_id, u, t, CASE WHEN quoted IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 5 THEN 'columns' WHEN {" OR ".join(invalid(f"t[{i}]", i == 2) for i in (1, 2, 3, 4))} THEN 'value' END AS reason FROM w)
+"""
+P1_FOUND = P1_LINES + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL"
+P1_LOADED = P1_LINES + r"""
+SELECT line_id, t[1] AS ligand, CASE WHEN t[2] NOT IN ('', 'NA', 'nan', 'ValueNotFound') THEN t[2] END AS additive, t[3] AS base, t[4] AS aryl_halide,
+  CASE WHEN regexp_full_match(replace(trim(u[5], ' '), ',', '.'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN replace(trim(u[5], ' '), ',', '.')::DOUBLE END AS output_value
+FROM r WHERE reason IS NULL
+"""
+
+DIVERSITY = """
+WITH b AS (SELECT unnest([0, 1]) AS c, unnest([list_transform(embedding, lambda x: (x::DOUBLE > 0.15)::INT), list_transform(embedding, lambda x: (x::DOUBLE > 0.3)::INT)]) AS v FROM embeddings),
+k AS (SELECT c, pos, x, count(*) AS k FROM (SELECT c, unnest(range(len(v))) AS pos, unnest(v) AS x FROM b) GROUP BY c, pos, x),
+n AS (SELECT 2 * count(*) AS n FROM embeddings),
+s AS (SELECT (sum(k * (k - 1)) + max(n))::BIGINT AS collisions, max(n)::DOUBLE AS n FROM k, n)
+SELECT collisions, round(collisions / (n * n), 6) AS ratio, round(1 - abs(collisions / (n * n) - 0.5), 6) AS score FROM s
+"""
+STACK = """
+WITH r AS (SELECT (l_discount > 0.05)::INT AS y, (l_quantity > 25)::INT AS p, l_quantity::DOUBLE AS s FROM lineitem),
+c AS (SELECT sum(y * p)::DOUBLE AS tp, sum(y * (1 - p))::DOUBLE AS fn, sum((1 - y) * p)::DOUBLE AS fp, sum((1 - y) * (1 - p))::DOUBLE AS tn, count(*)::DOUBLE AS n,
+  avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae, max(abs(y - p))::DOUBLE AS top, var_pop(y) AS vy, var_pop(y - p) AS ve FROM r),
+q AS (SELECT s, sum(sum(y)) OVER w AS tp, sum(sum(1 - y)) OVER w AS fp, sum(y) AS pos, sum(1 - y) AS neg FROM r GROUP BY s WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+x AS (
+SELECT unnest(['r2', 'mae', 'mse', 'max_error', 'explained_variance', 'accuracy', 'zero_one_loss', 'accuracy_count', 'hamming_loss', 'precision', 'recall', 'f1', 'jaccard', 'matthews', 'balanced_accuracy', 'specificity']) AS metric, NULL AS item,
+  unnest([1 - mse / vy, mae, mse, top, 1 - ve / vy, (tp + tn) / n, 1 - (tp + tn) / n, tp + tn, (fp + fn) / n, tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), tp / (tp + fp + fn),
+    (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), (tp / (tp + fn) + tn / (tn + fp)) / 2, (tp / (tp + fn) + tn / (tn + fp)) / 2]) AS value FROM c
+UNION ALL SELECT unnest(['recall_matrix', 'recall_matrix', 'specificity_matrix', 'specificity_matrix']), unnest(['1', '0', '1', '0']), unnest([tp / (tp + fn), tn / (tn + fp), tn / (tn + fp), tp / (tp + fn)]) FROM c
+UNION ALL SELECT 'confusion_matrix', y || '/' || p, count(*)::DOUBLE FROM r GROUP BY y, p
+UNION ALL SELECT 'roc_auc', NULL, sum(neg * (tp - pos / 2.0::DOUBLE))::DOUBLE / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) FROM q
+UNION ALL SELECT 'roc_curve', printf('%.6f', s) || ':fpr', fp::DOUBLE / (SELECT sum(neg) FROM q)::DOUBLE FROM q
+UNION ALL SELECT 'roc_curve', printf('%.6f', s) || ':tpr', tp::DOUBLE / (SELECT sum(pos) FROM q)::DOUBLE FROM q
+UNION ALL SELECT 'roc_curve', unnest(['inf:fpr', 'inf:tpr']), 0.0::DOUBLE)
+SELECT metric, item, round(value, 6) AS value FROM x
+"""
+NESTED = """
+WITH r AS (SELECT l_orderkey AS k, l_extendedprice AS y, unnest([0, 1, 2, 3]) AS config, unnest([l_quantity::DOUBLE, l_tax::DOUBLE, l_quantity::DOUBLE, l_tax::DOUBLE]) AS x FROM lineitem),
+h AS (SELECT r.*, o, i, (CASE WHEN o = 0 THEN k % 2 < 1 ELSE k % 2 >= 1 END) AS held, (CASE WHEN i = 0 THEN k % 4 < 2 ELSE k % 4 >= 2 END) AS tested FROM r, range(2) a(o), range(2) b(i)),
+f AS (SELECT o, i, config, CASE WHEN config < 2 THEN regr_slope(y, x) ELSE sum(x * y) / sum(x * x) END AS b, CASE WHEN config < 2 THEN regr_intercept(y, x) ELSE 0 END AS a FROM h WHERE NOT held AND NOT tested GROUP BY o, i, config),
+e AS (SELECT h.o, h.i, h.config, avg(abs(y - a - b * x)) AS mae FROM h JOIN f USING (o, i, config) WHERE NOT held AND tested GROUP BY h.o, h.i, h.config),
+m AS (SELECT o, config, avg(mae) AS inner_mean FROM e GROUP BY o, config),
+w AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY inner_mean, config) = 1 AS best FROM m),
+g AS (SELECT o, config, CASE WHEN config < 2 THEN regr_slope(y, x) ELSE sum(x * y) / sum(x * x) END AS b, CASE WHEN config < 2 THEN regr_intercept(y, x) ELSE 0 END AS a FROM h WHERE i = 0 AND NOT held GROUP BY o, config),
+t AS (SELECT h.o, h.config, avg(abs(y - a - b * x)) AS mae FROM h JOIN g USING (o, config) WHERE i = 0 AND held GROUP BY h.o, h.config)
+SELECT o::INT AS outer, config::INT AS config, round(inner_mean, 4) AS inner_mean, CASE WHEN best THEN round(mae, 4) END AS outer_test, best FROM w JOIN t USING (o, config)
 """
 
 SQL: dict[str, str] = {
     "p1_found": P1_FOUND,
+    "p1_loaded": P1_LOADED,
     "table_shapes": "SELECT 'region' AS name, count(*) AS n_rows, 2 AS n_columns FROM region UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'part', count(*), 6 FROM part",
     "file_row_counts": "SELECT count(*) AS n_rows FROM dreher_raw",
     "null_sentinels": "SELECT row_id, " + ", ".join(f"CASE WHEN {VALID.format(c)} THEN {c} END AS {c}" for c in ("ligand", "additive", "base", "aryl_halide")) + " FROM dreher_dataset",
@@ -129,16 +184,16 @@ SQL: dict[str, str] = {
     "specificity_matrix": f"SELECT label, round(tn / (tn + fp), 6) AS specificity FROM {RATES}",
     "confusion_matrix": f"SELECT y, sum((p = 'A')::INT)::BIGINT AS pred_A, sum((p = 'N')::INT)::BIGINT AS pred_N, sum((p = 'R')::INT)::BIGINT AS pred_R FROM {LABELS} GROUP BY y",
     "roc_auc": f"SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE))::DOUBLE / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 6) AS roc_auc FROM {ROC_SUMS}",
-    "roc_curve": f"SELECT round(score, 6) AS threshold, round(fp::DOUBLE / (SELECT sum(neg) FROM {ROC})::DOUBLE, 6) AS fpr, round(tp::DOUBLE / (SELECT sum(pos) FROM {ROC})::DOUBLE, 6) AS tpr FROM {ROC_SUMS}",
+    "roc_curve": f"SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL SELECT round(score, 6) AS threshold, round(fp::DOUBLE / (SELECT sum(neg) FROM {ROC})::DOUBLE, 6) AS fpr, round(tp::DOUBLE / (SELECT sum(pos) FROM {ROC})::DOUBLE, 6) AS tpr FROM {ROC_SUMS}",
     "fold_average": f"SELECT 'fixed' AS config, round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse FROM {FOLDS}",
     "best_fold": f"SELECT fold, round(mae, 6) AS mae FROM {FOLDS} ORDER BY mae, fold LIMIT 1",
     "multi_hot": "WITH d AS (SELECT list_sort(list(v)) AS vs FROM (SELECT l_returnflag AS v FROM lineitem UNION SELECT l_linestatus FROM lineitem)) SELECT l_orderkey, l_linenumber, array_to_string(list_transform(vs, lambda v: (v = l_returnflag OR v = l_linestatus)::INT), '') AS code FROM lineitem, d",
     "random_vectors": f"SELECT event_type, i::INT AS pos, round(-1.0::DOUBLE + 2.0::DOUBLE * ({h32(chr(39) + '42-' + chr(39) + ' || event_type || ' + chr(39) + '-' + chr(39) + ' || i')} / 4294967296.0::DOUBLE), 9) AS x FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(8)) AS i)",
     "regex_tokenize": f"SELECT row_id, array_to_string({TOKENS}, ' ') AS tokens FROM lipophilicity",
-    "token_ids_padded": f"SELECT row_id, array_to_string(list_resize(CASE WHEN t IS NULL THEN []::BIGINT[] ELSE list_concat(list_concat([3], {_ids}[1:58]), [4]) END, 60, 0), ',') AS ids FROM (SELECT row_id, {TOKENS} AS t FROM lipophilicity)",
-    "token_decode": f"SELECT row_id, array_to_string(list_transform(list_resize(CASE WHEN t IS NULL THEN []::BIGINT[] ELSE list_concat(list_concat([3], {_ids}[1:18]), [4]) END, 20, 0), lambda i: {_list(VOCABULARY)}[i + 1]), ' ') AS words FROM (SELECT row_id, {TOKENS} AS t FROM lipophilicity)",
+    "token_ids_padded": f"SELECT row_id, array_to_string(list_resize(CASE WHEN t IS NULL THEN []::BIGINT[] ELSE list_concat(list_concat([3], {_ids}), [4]) END, {ROOM}, 0), ',') AS ids FROM (SELECT row_id, {TOKENS} AS t FROM lipophilicity)",
+    "token_decode": f"SELECT row_id, array_to_string(list_transform(list_resize(CASE WHEN t IS NULL THEN []::BIGINT[] ELSE list_concat(list_concat([3], {_ids}), [4]) END, {ROOM}, 0), lambda i: {_list(VOCABULARY)}[i + 1]), ' ') AS words FROM (SELECT row_id, {TOKENS} AS t FROM lipophilicity)",
     "reaction_string": "SELECT row_id, concat_ws('.', aryl_halide, ligand) || '>' || concat_ws('.', base) || '>' || concat_ws('.', additive) AS reaction FROM dreher_dataset",
-    "reaction_fingerprint": f"SELECT row_id, {fingerprint('smiles', 32, 2)} AS bits FROM lipophilicity",
+    "reaction_fingerprint": REACTION_BITS,
     "nonzero_indices_padded": f"SELECT vec_id, array_to_string(list_resize(list_filter(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> 0 THEN i END), lambda i: i IS NOT NULL), 64, -1), ',') AS places FROM {bits()}",
     "pattern_counts": "SELECT row_id, array_to_string([" + ", ".join(_replace_count(p) for p in PATTERNS) + "], ',') AS counts FROM toxicity",
     "pattern_match": "SELECT row_id, array_to_string([" + ", ".join(f"least({_replace_count(p)}, 1)" for p in PATTERNS) + "], ',') AS bits FROM toxicity",
@@ -146,8 +201,18 @@ SQL: dict[str, str] = {
     "kernel_convert": r"SELECT row_id, len(list_filter(regexp_extract_all(smiles, '\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]'), lambda t: t <> '[H]'))::INT AS atoms FROM toxicity WHERE " + VALID.format("smiles"),
     "descriptor_round": "SELECT o_orderkey, round(o_totalprice)::INT AS whole, round(o_totalprice, 1) AS tenths FROM orders",
     "genome_id": "SELECT p_brand, md5(string_agg(DISTINCT p_type, '' ORDER BY p_type DESC)) AS id FROM part GROUP BY p_brand",
-    "genome_subset": "WITH c AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 3), b AS (SELECT DISTINCT p_brand FROM c) SELECT a.p_brand, o.p_brand AS other FROM b a JOIN b o ON a.p_brand <> o.p_brand WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.p_brand = a.p_brand AND NOT EXISTS (SELECT 1 FROM c y WHERE y.p_brand = o.p_brand AND y.p_type = x.p_type))",
+    "genome_subset": "WITH c AS (SELECT DISTINCT p_brand, p_type FROM part), b AS (SELECT DISTINCT p_brand FROM c) SELECT a.p_brand, o.p_brand AS other FROM b a JOIN b o ON a.p_brand <> o.p_brand WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.p_brand = a.p_brand AND NOT EXISTS (SELECT 1 FROM c y WHERE y.p_brand = o.p_brand AND y.p_type = x.p_type))",
+    "heavy_weight": f"SELECT row_id, round({_weight}, 3) AS weight FROM toxicity WHERE {VALID.format('smiles')}",
+    "weight_filter": f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS ID, row_id, smiles FROM lipophilicity WHERE {VALID.format('smiles')} AND {_weight} <= 800",
     "diversity_fitness": f"WITH k AS (SELECT pos, x, count(*) AS k FROM (SELECT unnest(range(64)) AS pos, unnest(bits) AS x FROM {bits()}) GROUP BY pos, x), n AS (SELECT count(*) AS n FROM embeddings) SELECT (sum(k * (k - 1)) + max(n))::BIGINT AS collisions, round((sum(k * (k - 1)) + max(n))::DOUBLE / (max(n) * max(n))::DOUBLE, 6) AS diversity FROM k, n",
     "grid_expand": "SELECT (row_number() OVER (ORDER BY kind, trees, depth) - 1) AS combination, depth, trees, kind FROM (SELECT unnest([2, 4, 6])::BIGINT AS depth), (SELECT unnest([10, 50, 100])::BIGINT AS trees), (SELECT unnest(['a', 'b']) AS kind)",
+    "diversity_score": DIVERSITY,
+    "primitive_pool": f"WITH t AS (SELECT row_id, unnest({TOKENS}) AS w FROM lipophilicity WHERE {VALID.format('smiles')}), k AS (SELECT row_id, w, count(*) AS k FROM t GROUP BY row_id, w), n AS (SELECT count(*) AS n FROM lipophilicity WHERE {VALID.format('smiles')}), "
+    "p AS (SELECT w AS primitive, CASE WHEN regexp_full_match(w, '\\[.+\\]|[A-Za-z]{1,2}') THEN 'atom' ELSE 'other' END AS kind, count(*) AS rows, CASE WHEN count(*) < max(n) THEN 0 ELSE min(k) END AS least, max(k) AS most FROM k, n GROUP BY w) "
+    "SELECT primitive, kind, rows, least, most, least <> most AS relevant FROM p WHERE kind = 'atom' OR least <> most",
+    "metric_stack_all": STACK,
+    "split_nested_pairs": "SELECT event_id, o::INT AS outer, i::INT AS inner, CASE WHEN event_id % 2 = o THEN 'outer_test' WHEN (event_id // 2) % 3 = i THEN 'inner_test' ELSE 'train' END AS role FROM events, range(2) x(o), range(3) z(i)",
+    "job_predict": "SELECT l_orderkey, l_extendedprice AS price, round(a + b * l_quantity, 3) AS guess FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_orderkey % 2 = 0)",
+    "grid_nested_best": NESTED,
     "stream_window_count": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 } | {f"fitness_{w}": fitness(w) for w in ("average", "average_pow", "norm_max", "norm_max_pow", "norm_asList", "norm_asList_pow")}

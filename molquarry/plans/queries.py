@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import tokens, values
-from molquarry.operators import duplicates, encoders, evolve, fingerprints, kernels, metrics, models, positions, search, select, sorting, splits
+from molquarry.operators import duplicates, encoders, evolve, fingerprints, jobs, kernels, metrics, models, positions, search, select, sorting, splits
 from molquarry.session import read_table
 from molquarry.sources import catalog, rejects
 from molquarry.streaming import encode
@@ -35,12 +35,12 @@ def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.load_lines(lines).where("reason IS NULL").select("line_id", *rejects.FIELDS[:4], rejects.number(F.col("output")).alias("output_value"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.dense_positions(read_table(spark, sf_dir, "events"), ["event_id"])
+def _events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return positions.dense_positions(read_table(spark, sf_dir, "events").select("event_id", *columns), ["event_id"])
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.dense_positions(read_table(spark, sf_dir, "orders"), ["o_orderkey"])
+def _orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return positions.dense_positions(read_table(spark, sf_dir, "orders").select("o_orderkey", *columns), ["o_orderkey"])
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -80,7 +80,7 @@ def null_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def project_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.rows_between(_orders(spark, sf_dir), 100, 200).select("row_id", "o_orderkey", "o_totalprice")
+    return select.rows_between(_orders(spark, sf_dir, "o_totalprice"), 100, 200).select("row_id", "o_orderkey", "o_totalprice")
 
 
 @query
@@ -107,7 +107,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dense_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.renumbered(read_table(spark, sf_dir, "part"), F.col("p_size") <= 25, ["p_partkey"]).select("ID", "p_partkey", "p_size")
+    return select.renumbered(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") <= 25, ["p_partkey"]).select("ID", "p_partkey", "p_size")
 
 
 @query
@@ -128,7 +128,7 @@ def assemble_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overwrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = positions.dense_positions(read_table(spark, sf_dir, "part"), ["p_partkey"])
+    part = positions.dense_positions(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"])
     new = part.where("row_id % 3 = 0").select("row_id", (F.col("p_size") + 100).alias("p_size"))
     return select.overwrite_rows(part, new, ["p_size"]).select("row_id", "p_partkey", "p_size")
 
@@ -137,7 +137,7 @@ def overwrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional alignment of a feature and a target table."""
     x = positions.dense_positions(read_table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"])
-    y = _orders(spark, sf_dir).select("row_id", "o_totalprice")
+    y = _orders(spark, sf_dir, "o_totalprice").select("row_id", "o_totalprice")
     return x.join(y, "row_id")
 
 
@@ -292,7 +292,7 @@ def specificity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion_matrix(_labels(spark, sf_dir), ["A", "N", "R"])
+    return metrics.confusion_matrix(_labels(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,11 +306,11 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.roc_curve(_scored(spark, sf_dir)).where("threshold < 1e300"))
+    return _rounded(metrics.roc_curve(_scored(spark, sf_dir)))
 
 
 def _fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    events = _events(spark, sf_dir, "value")
     folds = splits.by_fold(events, 5, events.count()).withColumn("y", F.col("value")).withColumn("p", F.lit(50.0))
     return metrics.MetricStack(("mae", "mse")).calculate(folds, by=["fold"])
 
@@ -347,12 +347,6 @@ def regex_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smiles.select("row_id", F.array_join(tokens.regex_tokens(F.col("smiles")), " ").alias("tokens"))
 
 
-@query
-def token_ids_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = tokens.tokenize(read_table(spark, sf_dir, "lipophilicity").select("row_id", "smiles"), "smiles", 60)
-    return coded.select("row_id", F.array_join(F.col("smiles_ids").cast("array<string>"), ",").alias("ids"))
-
-
 def _whole_length(smiles: DataFrame) -> int:
     """Room for the tokens of the longest text and both frame tokens."""
     longest = smiles.agg(F.max(F.size(tokens.regex_tokens(F.col("smiles"))))).first()[0]
@@ -360,8 +354,8 @@ def _whole_length(smiles: DataFrame) -> int:
 
 
 @query
-def token_ids_padded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token of every text; token_ids_padded keeps the first 58."""
+def token_ids_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every text, padded to the longest."""
     smiles = read_table(spark, sf_dir, "lipophilicity").select("row_id", "smiles")
     coded = tokens.tokenize(smiles, "smiles", _whole_length(smiles))
     return coded.select("row_id", F.array_join(F.col("smiles_ids").cast("array<string>"), ",").alias("ids"))
@@ -369,13 +363,7 @@ def token_ids_padded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.token_ids(tokens.regex_tokens(F.col("smiles")), 20)
-    return read_table(spark, sf_dir, "lipophilicity").select("row_id", tokens.decoded(ids).alias("words"))
-
-
-@query
-def token_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of every token of every text; token_decode keeps the first 18."""
+    """The words of every token of every text."""
     smiles = read_table(spark, sf_dir, "lipophilicity").select("row_id", "smiles")
     ids = tokens.token_ids(tokens.regex_tokens(F.col("smiles")), _whole_length(smiles))
     return smiles.select("row_id", tokens.decoded(ids).alias("words"))
@@ -388,13 +376,6 @@ def reaction_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reaction_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded bits of single SMILES, 32 of 2-grams; reaction_fingerprint_whole has those of reactions."""
-    coded = read_table(spark, sf_dir, "lipophilicity").select("row_id", encoders.hashed_fingerprint("smiles", 32, 2).alias("bits"))
-    return coded.select("row_id", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
-
-
-@query
-def reaction_fingerprint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2048 folded bits of the reaction string of every record."""
     coded = fingerprints.reaction(read_table(spark, sf_dir, "dreher_dataset"), "bits", ["aryl_halide", "ligand"], ["base"], ["additive"], as_text=True)
     return coded.select("row_id", "bits")
@@ -442,24 +423,23 @@ def genome_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.select("p_brand", values.genome_id(F.col("genes")).alias("id"))
 
 
-def _subset(part: DataFrame) -> DataFrame:
-    genes = part.groupBy("p_brand").agg(F.countDistinct("p_type").alias("n"))
-    cells = part.select("p_brand", "p_type").distinct()
-    other = cells.select(F.col("p_brand").alias("other"), "p_type")
-    met = cells.join(other, "p_type").where("p_brand <> other").groupBy("p_brand", "other").agg(F.count(F.lit(1)).alias("shared"))
-    return met.join(genes, "p_brand").where("shared = n").select("p_brand", "other")
+@query
+def genome_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of brands of which one's types are all among the other's."""
+    return evolve.subset_pairs(read_table(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
 @query
-def genome_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of brands of which one's types of small parts are all among the other's."""
-    return _subset(read_table(spark, sf_dir, "part").where("p_size <= 3"))
+def heavy_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smiles = select.valid_values(read_table(spark, sf_dir, "toxicity"), "smiles")
+    return smiles.select("row_id", F.round(encoders.heavy_atom_weight("smiles"), 3).alias("weight"))
 
 
 @query
-def genome_subset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of brands of which one's types are all among the other's."""
-    return _subset(read_table(spark, sf_dir, "part"))
+def weight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules up to a weight, with dense new ids."""
+    smiles = select.valid_values(read_table(spark, sf_dir, "lipophilicity"), "smiles").select("row_id", "smiles")
+    return select.renumbered(smiles, encoders.heavy_atom_weight("smiles") <= 800, ["row_id"]).select("ID", "row_id", "smiles")
 
 
 # fitness and search
@@ -484,6 +464,31 @@ def diversity_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evolve.diversity(_bits(spark, sf_dir), "bits"))
 
 
+@query
+def diversity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vector columns: the embedding's bits by a low and by a high threshold."""
+    both = read_table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: (x > 0.15).cast("int")).alias("a"), F.transform("embedding", lambda x: (x > 0.3).cast("int")).alias("b"))
+    return _rounded(evolve.diversity_score(both, ["a", "b"], 0.5))
+
+
+@query
+def primitive_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evolve.primitive_pool(read_table(spark, sf_dir, "lipophilicity"), "smiles")
+
+
+@query
+def metric_stack_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric over one table: whether a discount is high, guessed and scored by quantity."""
+    rows = read_table(spark, sf_dir, "lineitem").select((F.col("l_discount") > 0.05).cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("p"), F.col("l_quantity").cast("double").alias("score"))
+    return _rounded(metrics.MetricStack(tuple(metrics.DIRECTIONS)).calculate_all(rows))
+
+
+@query
+def split_nested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda k: [F.col("event_id") % k == i for i in range(k)]
+    return splits.nested_roles(read_table(spark, sf_dir, "events").select("event_id"), fold(2), [(F.col("event_id") / 2).cast("bigint") % 3 == i for i in range(3)])
+
+
 @query
 def grid_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {"depth": search.Range(2, 8, 2, whole=True).values(), "trees": [10, 50, 100], "kind": ["a", "b"]}
@@ -528,10 +533,34 @@ def grid_search_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.results_frame(spark, tried, "linear_regression", "mse")
 
 
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.array(F.col(c).cast("double")).alias(n) for c, n in (("l_quantity", "by_quantity"), ("l_tax", "by_tax"))]
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"), *columns)
+
+
+@query
+def job_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line fitted to half of the orders predicts the prices of all line items."""
+    rows = _priced(spark, sf_dir)
+    model = jobs.create("train", kind="linear_regression", features="by_quantity", label="price").run(rows.where("l_orderkey % 2 = 0")).model
+    done = jobs.Runner().run([jobs.create("predict", model=model, features="by_quantity", column="guess")], rows)[0].predicted
+    return done.select("l_orderkey", "price", F.round("guess", 3).alias("guess"))
+
+
+@query
+def grid_nested_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outer and two inner splits; which column and whether with an intercept, by the mean absolute error."""
+    test = lambda n: [F.col("l_orderkey").cast("bigint") % (2 * n) < n, F.col("l_orderkey").cast("bigint") % (2 * n) >= n]
+    searched = jobs.NestedSearch("linear_regression", "price", "mae", test(1), test(2))
+    found = searched.run(_priced(spark, sf_dir), {"features": search.Choice(("by_quantity", "by_tax")), "fitIntercept": search.Choice((True, False))})
+    return found.select("outer", "config", F.round("inner_mean", 4).alias("inner_mean"), F.round("outer_test", 4).alias("outer_test"), "best")
+
+
 @query
 def evolve_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     smiles = select.valid_values(read_table(spark, sf_dir, "lipophilicity"), "smiles").where("output_value IS NOT NULL AND NOT isnan(output_value)").persist()
-    found = evolve.Evolution(smiles, "smiles", ["C", "N", "O", "S", "c", "n", "F", "(", "P"], evolve.mean_fitness(smiles, "smiles", "output_value"), size=6, population=8)
+    atoms = evolve.atoms_of(evolve.primitive_pool(smiles, "smiles"))
+    found = evolve.Evolution(smiles, "smiles", atoms, evolve.mean_fitness(smiles, "smiles", "output_value"), size=6, population=8)
     best = found.run(2)
     smiles.unpersist()
     return evolve.population_frame(spark, 2, [best])

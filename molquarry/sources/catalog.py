@@ -101,6 +101,12 @@ def from_numpy(spark: SparkSession, array: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"None": list(array)}))
 
 
+def from_pandas(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:
+    """A pandas frame; object columns become text, missing entries null."""
+    texts = [c for c in frame.columns if frame[c].dtype == object]
+    return spark.createDataFrame(frame.assign(**{c: frame[c].map(lambda v: None if v is None or v != v else str(v)) for c in texts}))
+
+
 @dataclass
 class Catalog:
     """A dictionary of named tables, each also a temporary view; existing names raise."""
@@ -129,6 +135,20 @@ class Catalog:
         self.drop(name)
         return self.add(name, df)
 
+    def copy(self, old: str, new: str) -> DataFrame:
+        """The same rows under another name; frames don't change, so nothing is written."""
+        return self.add(new, self.tables[old])
+
+    def resize(self, name: str, rows: int, order: list[str]) -> DataFrame:
+        """The first rows in the given order, or more with null rows at the end."""
+        df = self.tables[name]
+        placed = dense_positions(df, order, "_place")
+        more = rows - df.count()
+        out = placed.where(F.col("_place") < rows).drop("_place")
+        if more > 0:
+            out = out.unionByName(self.spark.range(more).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields)))
+        return self.replace(name, out)
+
     def rename(self, old: str, new: str) -> None:
         df = self.tables[old]
         self.add(new, df)

@@ -1,8 +1,9 @@
 """Delimited lines that fail to parse, separated with the reason, while the valid ones load (p1).
 
-Record blocks are parsed at once by a columnar CSV reader and their distinct values are checked in
-columnar form; a block that fails is halved until the failing records stand in blocks of at most
-`leaf` lines, and only those are read by the strict parser, which says what is wrong.
+Record blocks are parsed at once by a columnar CSV reader and checked in columnar form, which gives a
+verdict for each line. A block that holds a failing line is halved until the failing lines stand alone;
+they are read by the strict parser, which says what is wrong, and all others load from the columns. Should the
+reader refuse a block of lines that look sound, it is given the halves of it.
 
 Rules: a trailing carriage return is no part of the line; a field whose very first character is a
 quote runs to its closing quote, which a comma or the line's end must follow, with "" for one quote
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -29,7 +31,6 @@ FIELDS = ("ligand", "additive", "base", "aryl_halide", "output")
 OPTIONAL = (1,)
 CHECKED = 4
 BLOCK_LINES = 4096
-LEAF_LINES = 32
 
 _BRACKET = r"\[[0-9]*(?:[A-Z][a-z]?|[bcnops])@{0,2}(?:H[0-9]?)?(?:[+-][0-9]?)?\]"
 _PART = re.compile(rf"{_BRACKET}|Cl|Br|[BCNOPSFIbcnops]|[-=#:/\\.]|[()]|%[0-9][0-9]|[0-9]")
@@ -120,16 +121,12 @@ def diagnose(line: str | None, width: int = len(FIELDS)) -> tuple[str | None, li
     return None, fields
 
 
-def _bulk(lines: pa.Array, width: int) -> list[pa.Array] | None:
-    """The columns of a block if all its lines are sound, else None."""
-    if lines.null_count:
-        return None
-    lines = pc.if_else(pc.ends_with(lines, "\r"), pc.utf8_slice_codeunits(lines, 0, -1), lines)
-    if not pc.all(pc.match_substring_regex(lines, WELL_QUOTED)).as_py():
-        return None
-    if pc.any(pc.match_substring_regex(lines, "[\n\r]")).as_py() or pc.any(pc.equal(lines, "")).as_py():
-        return None  # the reader takes these for line ends
+def _columns(lines: pa.Array, width: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(which lines the reader takes, their columns) of lines that look sound."""
     names = [f"c{i}" for i in range(width)]
+    empty = [pa.array([], pa.string())] * width
+    if not len(lines):
+        return np.zeros(0, bool), empty
     text = pa.py_buffer(("\n".join(lines.to_pylist()) + "\n").encode())
     try:
         table = pacsv.read_csv(
@@ -138,37 +135,57 @@ def _bulk(lines: pa.Array, width: int) -> list[pa.Array] | None:
             parse_options=pacsv.ParseOptions(quote_char='"', double_quote=True, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False),
         )
+        if table.num_rows == len(lines):
+            return np.ones(len(lines), bool), [c.combine_chunks() for c in table.columns]
     except pa.ArrowInvalid:
-        return None
-    if table.num_rows != len(lines):
-        return None
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+        pass
+    if len(lines) == 1:
+        return np.zeros(1, bool), empty
+    half = len(lines) // 2
+    (a, left), (b, right) = _columns(lines.slice(0, half), width), _columns(lines.slice(half), width)
+    return np.concatenate([a, b]), [pa.concat_arrays([x, y]) for x, y in zip(left, right)]
+
+
+def _bulk(lines: pa.Array, width: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(which lines of a block are sound, the columns of those)."""
+    lines = pc.if_else(pc.ends_with(lines, "\r"), pc.utf8_slice_codeunits(lines, 0, -1), lines)
+    commas = pc.count_substring(pc.replace_substring_regex(lines, _QUOTED, ""), ",")
+    # the reader takes line breaks and empty lines for something else
+    plain = pc.and_(pc.invert(pc.match_substring_regex(lines, "[\n\r]")), pc.not_equal(lines, ""))
+    looks = pc.and_(pc.and_(pc.match_substring_regex(lines, WELL_QUOTED), pc.equal(commas, width - 1)), plain)
+    sound = pc.fill_null(looks, False).to_numpy(zero_copy_only=False).copy()
+    taken, columns = _columns(lines.filter(pa.array(sound)), width)
+    sound[np.flatnonzero(sound)[~taken]] = False
+    good = np.ones(int(taken.sum()), bool)
     for i in range(CHECKED):
         columns[i] = pc.utf8_trim(columns[i], " \t")
-        if not all(_fits(i, value) for value in pc.unique(columns[i]).to_pylist()):
-            return None
-    return columns
+        coded = columns[i].dictionary_encode()
+        fits = np.array([_fits(i, value) for value in coded.dictionary.to_pylist()], bool)
+        good &= fits[coded.indices.to_numpy(zero_copy_only=False)]
+    sound[np.flatnonzero(sound)[~good]] = False
+    return sound, [c.filter(pa.array(good)) for c in columns]
 
 
-def parse_block(lines: pa.Array, width: int = len(FIELDS), leaf: int = LEAF_LINES) -> Iterator[tuple[int, int, list | None, list | None]]:
+def parse_block(lines: pa.Array, width: int = len(FIELDS)) -> Iterator[tuple[int, int, list | None, tuple | None]]:
     """Sound runs and diagnosed lines of a block, in order: (start, length, columns, None) or
     (start, 1, None, (reason, fields))."""
+    sound, columns = _bulk(lines, width)
+    place = np.concatenate([[0], np.cumsum(sound)])
     waiting = [(0, len(lines))]
     while waiting:
         start, size = waiting.pop()
-        if size <= leaf:
-            for i in range(start, start + size):
-                yield i, 1, None, diagnose(lines[i].as_py(), width)
-            continue
-        columns = _bulk(lines.slice(start, size), width)
-        if columns is not None:
-            yield start, size, columns, None
+        good = int(place[start + size] - place[start])
+        if good == size:
+            if size:
+                yield start, size, [c.slice(int(place[start]), size) for c in columns], None
+        elif size == 1:
+            yield start, 1, None, diagnose(lines[start].as_py(), width)
         else:
             half = size // 2
             waiting += [(start + half, size - half), (start, half)]
 
 
-def load_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block: int = BLOCK_LINES, leaf: int = LEAF_LINES) -> DataFrame:
+def load_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block: int = BLOCK_LINES) -> DataFrame:
     """One row for each row of df: key, the five fields (null in rejected lines; a missing value is
     null) and reason (null in loaded lines). One pass, no shuffle; header lines must be left out."""
     width = len(FIELDS)
@@ -177,24 +194,22 @@ def load_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", bloc
         for batch in batches:
             for low in range(0, batch.num_rows, block):
                 part = batch.slice(low, block)
-                at, reasons, columns = [], [], [[] for _ in FIELDS]
-                for start, size, good, told in parse_block(part.column(1), width, leaf):
-                    at.append(pa.array(range(start, start + size), pa.int64()))
-                    if good is not None:
-                        reasons.append(pa.nulls(size, pa.string()))
-                        for held, column in zip(columns, good):
-                            held.append(column)
-                    else:
-                        reason, fields = told
-                        reasons.append(pa.array([reason], pa.string()))
-                        for i, held in enumerate(columns):
-                            held.append(pa.array([None if reason else fields[i]], pa.string()))
-                order = pa.concat_arrays(at)
-                whole = [pa.concat_arrays(c) for c in columns]
+                at, columns, told = [], [[] for _ in FIELDS], []
+                for start, size, good, found in parse_block(part.column(1), width):
+                    if good is None:
+                        told.append((start, *found))
+                        continue
+                    at.append(np.arange(start, start + size))
+                    for held, column in zip(columns, good):
+                        held.append(column)
+                rejected = [[None if reason else fields[i] for _, reason, fields in told] for i in range(width)]
+                order = pa.array(np.concatenate([*at, np.array([t[0] for t in told], np.int64)]).astype(np.int64))
+                whole = [pa.concat_arrays([*held, pa.array(extra, pa.string())]) for held, extra in zip(columns, rejected)]
+                reasons = pa.array([None] * sum(map(len, at)) + [t[1] for t in told], pa.string())
                 for i in range(CHECKED):
                     missing = pc.is_in(whole[i], pa.array(MISSING))
                     whole[i] = pc.if_else(missing, pa.scalar(None, pa.string()), whole[i])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(order), *whole, pa.concat_arrays(reasons)], ["key", *FIELDS, "reason"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(order), *whole, reasons], ["key", *FIELDS, "reason"])
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(key).alias("key"), F.col(line).alias("line")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{f} string" for f in FIELDS) + ", reason string")

@@ -49,7 +49,7 @@ def test_reactions_keep_all_bits(spark, tiny):
     import hashlib
 
     texts = {r["row_id"]: r["reaction"] for r in QUERIES["reaction_string"](spark, tiny).collect()}
-    got = {r["row_id"]: r["bits"] for r in QUERIES["reaction_fingerprint_whole"](spark, tiny).collect()}
+    got = {r["row_id"]: r["bits"] for r in QUERIES["reaction_fingerprint"](spark, tiny).collect()}
     assert set(got) == set(texts)
     for k, text in texts.items():
         held = {int(hashlib.md5(text[i : i + 3].encode()).hexdigest()[:8], 16) % 2048 for i in range(len(text) - 2)}
@@ -67,12 +67,12 @@ def _framed(spark, tiny):
 
 
 def test_token_ids_keep_every_token(spark, tiny):
-    got = {r["row_id"]: r["ids"].split(",") for r in QUERIES["token_ids_padded_whole"](spark, tiny).collect()}
+    got = {r["row_id"]: r["ids"].split(",") for r in QUERIES["token_ids_padded"](spark, tiny).collect()}
     assert {k: [VOCABULARY[int(i)] for i in ids] for k, ids in got.items()} == _framed(spark, tiny)
 
 
 def test_decoding_keeps_every_token(spark, tiny):
-    got = {r["row_id"]: r["words"].split(" ") for r in QUERIES["token_decode_whole"](spark, tiny).collect()}
+    got = {r["row_id"]: r["words"].split(" ") for r in QUERIES["token_decode"](spark, tiny).collect()}
     assert got == _framed(spark, tiny)
 
 
@@ -81,5 +81,5 @@ def test_subsets_of_all_parts(spark, tiny):
     for r in spark.read.parquet(f"{tiny}/part.parquet").collect():
         types.setdefault(r["p_brand"], set()).add(r["p_type"])
     want = {(a, b) for a in types for b in types if a != b and types[a] <= types[b]}
-    got = [tuple(r) for r in QUERIES["genome_subset_whole"](spark, tiny).select("p_brand", "other").collect()]
+    got = [tuple(r) for r in QUERIES["genome_subset"](spark, tiny).select("p_brand", "other").collect()]
     assert len(got) == len(want) and set(got) == want

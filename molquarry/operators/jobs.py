@@ -88,7 +88,8 @@ class EvalJob:
 @dataclass
 class PredictJob:
     """Score the rows at the given positions (None: all). table: also write row_id and the prediction as
-    a table of its own, from which the caller joins or overwrites by position."""
+    a table of its own, from which the caller joins or overwrites by position. An existing column of the
+    prediction's name is replaced."""
 
     model: object
     features: str
@@ -99,7 +100,7 @@ class PredictJob:
     name: str = "predict"
 
     def run(self, df: DataFrame) -> Finished:
-        rows = df if self.positions is None else gather(df, self.positions, self.row_id)
+        rows = (df if self.positions is None else gather(df, self.positions, self.row_id)).drop(self.column)
         predicted = models.predict(self.model, rows, self.features).withColumnRenamed("p", self.column)
         if self.table:
             predicted.select(self.row_id, self.column).write.mode("errorifexists").parquet(self.table)

@@ -506,7 +506,7 @@ def clustered(df: DataFrame, fields: list[str], key: str = "row_id", with_flow:
     if with_flow:
         pulled = flows(values)
         classes = cut(classes.join(pulled, F.col("id") == F.col("i"), "left").select("id", "class", F.coalesce("flow", F.lit(0.0)).alias("flow")))
-    rows = compounds.with_ids(df, fields, [key])  # a missing value has no id and finds no class
+    rows = compounds.with_ids(df, fields, [key])  # a missing value finds no class
     out = compounds.with_classes(rows, classes, fields, key, ("class", "flow") if with_flow else ("class",), "inner")
     score = F.lit(1.0)
     for f in fields if with_flow else ():

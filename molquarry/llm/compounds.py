@@ -45,29 +45,31 @@ SALTS = 16
 MISSING = ("", "NA", "nan", "ValueNotFound")
 
 
-def normalised(column: str) -> Column:
-    """The value without blanks at its ends, null where it is missing."""
+def trimmed(column: str) -> Column:
+    """The value without blanks at its ends. Trimming by a set of characters is slow, and most values have
+    no blanks at their ends."""
     value = F.col(column)
-    # trimming by a set of characters is slow, and most values have no blanks at their ends
     blank = value.startswith(" ") | value.startswith("\t") | value.endswith(" ") | value.endswith("\t")
-    trimmed = F.when(blank, F.btrim(value, F.lit(" \t"))).otherwise(value)
-    return F.when(~trimmed.isin(*MISSING), trimmed)
+    return F.when(blank, F.btrim(value, F.lit(" \t"))).otherwise(value)
 
 
-def value_id(field: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.xxhash64(F.lit(field), value))
+def normalised(column: str) -> Column:
+    """The value without blanks at its ends, null where it is missing."""
+    return F.when(~trimmed(column).isin(*MISSING), trimmed(column))
 
 
 def with_ids(df: DataFrame, fields: list[str], keep: list[str | Column]) -> DataFrame:
-    """keep and <field>_id of each field: values leave the rows as ids, so no text is shuffled."""
-    return df.select(*keep, *(value_id(f, normalised(f)).alias(f"{f}_id") for f in fields))
+    """keep and <field>_id of each field: values leave the rows as ids, so no text is shuffled. A missing
+    value has an id like any other, which no class table holds: a test for it here would make the plan
+    work out the trimmed text again and again."""
+    return df.select(*keep, *(F.xxhash64(F.lit(f), trimmed(f)).alias(f"{f}_id") for f in fields))
 
 
 def distinct_values(df: DataFrame, fields: list[str], **marks: Column) -> DataFrame:
     """(id, field, value[, marks]) of every distinct value, checkpointed; a mark is true where it is true
     in any of its records. One pass: the values of a row are exploded and aggregated before the shuffle."""
-    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), normalised(f).alias("value")) for f in fields)))
-    flat = df.select(listed.alias("x"), *(F.coalesce(c, F.lit(False)).alias(m) for m, c in marks.items())).select("x.field", "x.value", *marks).where("value IS NOT NULL")
+    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), trimmed(f).alias("value")) for f in fields)))
+    flat = df.select(listed.alias("x"), *(F.coalesce(c, F.lit(False)).alias(m) for m, c in marks.items())).select("x.field", "x.value", *marks).where(~F.col("value").isin(*MISSING))
     found = flat.groupBy("field", "value").agg(*(F.max(m).alias(m) for m in marks)) if marks else flat.distinct()
     return cut(found.select(F.xxhash64("field", "value").alias("id"), "field", "value", *marks))
 

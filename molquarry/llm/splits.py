@@ -45,7 +45,7 @@ def overlap_rows(df: DataFrame, fields: list[str], keep: list[str | Column], key
     share of a record's characters in passages that training values hold too."""
     name = split_name(split)
     classes = compounds.asked_classes(df, fields, name.isin(*held), name == train)
-    # a missing value has no id and finds no class
+    # a missing value finds no class
     rows = compounds.with_ids(df.where(name.isin(train, *held)), fields, [key, *keep, name.alias("split")])
     rows = compounds.with_classes(rows, classes, fields, key, ("class", "size", "covered") if measured else ("class",), "inner")
     total = lambda c: sum((F.col(f"{f}_{c}") for f in fields), F.lit(0))

@@ -98,7 +98,8 @@ def _tournament(candidates: DataFrame, blocks: int, limit: int, basis: dict[str,
         return run
 
     level = candidates.select("field", F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("part"), F.lit(0).cast("bigint").alias("place"), "value")
-    level = level.groupBy("field", "part").applyInArrow(reduce_by(1), LIST)
+    # the work of a block lies in its pivots, not its bytes, so partitions must not be merged by size
+    level = level.repartition(4 * blocks, "field", "part").groupBy("field", "part").applyInArrow(reduce_by(1), LIST)
     while blocks > 1:
         level = level.groupBy("field", F.expr(f"div(part, {FAN})")).applyInArrow(reduce_by(FAN), LIST)
         blocks = -(-blocks // FAN)

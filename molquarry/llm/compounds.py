@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from molquarry.functions.values import MISSING
 from molquarry.llm.components import components
 from molquarry.llm.editing import within
 from molquarry.session import cut
@@ -41,8 +42,6 @@ HITS = 500_000
 BROADCAST_ROWS = 250_000
 #: parts that the rows of a hot key are dealt to where they are joined
 SALTS = 16
-#: fixed values: the strings that mean a missing component
-MISSING = ("", "NA", "nan", "ValueNotFound")
 
 
 def trimmed(column: str) -> Column:
@@ -247,15 +246,17 @@ def link_forest(values: list[str], batches: Iterator[tuple[np.ndarray, np.ndarra
         a, b = open_pairs(a, b)
         near = np.concatenate([bag_distance(bags, a[i : i + 100_000], b[i : i + 100_000]) <= edits for i in range(0, len(a), 100_000)]) if len(a) else np.empty(0, bool)
         a, b = a[near], b[near]
+        take = 1
         while len(a):
-            # one pair a value first: most of what it joins needs no further test
-            chosen = np.zeros(len(a), bool)
-            chosen[np.unique(a, return_index=True)[1]] = True
-            if chosen.sum() * 50 < len(a) or len(a) <= 2_000:
-                chosen[:20_000] = True
+            # one pair of each class met so far, then two, four...: most of what the first join needs no test
+            order = np.argsort(label[a], kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(label[a][order]) != 0]))
+            place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            chosen, rest = order[place < take], order[place >= take]
             test(a[chosen], b[chosen])
             label = forest.labels()
-            a, b = open_pairs(a[~chosen], b[~chosen])
+            a, b = open_pairs(a[rest], b[rest])
+            take *= 2
     return edges
 
 

@@ -290,7 +290,8 @@ def encode_words(table: Merges, words: list[str]) -> list[np.ndarray]:
 class Encoder:
     """Encodes blocks of texts and remembers the pre-tokens that it has met, by a 64-bit hash:
     a sum of random numbers, one for each code point, weighted by random odd numbers, one for each
-    position. Two of a million pre-tokens share a hash with a chance of about 1 in 30 million."""
+    position. A hit is compared with the spelling of the pre-token that was met; one of another spelling
+    is encoded by itself."""
 
     def __init__(self, table: Merges):
         self.table = table
@@ -304,11 +305,22 @@ class Encoder:
         self.sizes = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
+        self.spelled = np.empty(0, np.uint32)
+        self.letters = np.empty(0, np.int64)
+        self.spelled_at = np.empty(0, np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        self.index.add(keys)
+        self.append(words)
+
+    def append(self, words: list[str]) -> None:
+        """Encode words and give them the next numbers."""
         coded = encode_words(self.table, words)
         sizes = np.fromiter(map(len, coded), np.int32, len(coded))
-        self.index.add(keys)
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        self.spelled_at = np.concatenate([self.spelled_at, len(self.spelled) + np.cumsum(letters) - letters])
+        self.letters = np.concatenate([self.letters, letters])
+        self.spelled = np.concatenate([self.spelled, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, *coded])
@@ -321,6 +333,20 @@ class Encoder:
             keys[i] = np.frombuffer(whole, np.uint64)[0]
         return np.where(keys == 0, np.uint64(1), keys)
 
+    def clashes(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The tokens that were found under the hash of a pre-token of another spelling."""
+        known = np.flatnonzero(word >= 0)
+        other = known[self.letters[word[known]] != size[known]]
+        same = known[self.letters[word[known]] == size[known]]
+        if len(same):
+            n = size[same]
+            first = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(first, n)
+            differs = codes[np.repeat(at[same], n) + step] != self.spelled[np.repeat(self.spelled_at[word[same]], n) + step]
+            if differs.any():
+                other = np.concatenate([other, same[np.logical_or.reduceat(differs, first)]])
+        return other
+
     def block(self, texts: list[str | None], with_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """(number of tokens of each text, all ids one after the other)."""
         if self.index.count > MEMO_WORDS:
@@ -343,15 +369,20 @@ class Encoder:
             spelled = [codes[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le") for i in new[first]]
             self.learn(fresh, spelled)
             word[new] = self.index.find(keys[new])
+        clash, held = self.clashes(codes, at, size, word), (self.sizes, self.starts, self.ids, self.spelled, self.letters, self.spelled_at)
+        if len(clash):
+            # for this block alone: the index knows no second word of a hash
+            word[clash] = len(self.sizes) + np.arange(len(clash))
+            self.append([codes[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le") for i in clash])
         sizes = np.where(word >= 0, self.sizes[word], 0) if len(self.sizes) else np.zeros(len(word), np.int32)
         ends = np.cumsum(sizes, dtype=np.int64)
-        lengths = np.diff(np.concatenate([[0], ends[edge_token]]))
-        if not with_ids:
-            return lengths, None
-        if not len(self.sizes):
-            return lengths, np.empty(0, np.int32)
-        gather = np.repeat(self.starts[word] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return lengths, self.ids[gather]
+        lengths, ids = np.diff(np.concatenate([[0], ends[edge_token]])), None
+        if with_ids:
+            ids = np.empty(0, np.int32)
+            if len(self.sizes):
+                ids = self.ids[np.repeat(self.starts[word] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.sizes, self.starts, self.ids, self.spelled, self.letters, self.spelled_at = held
+        return lengths, ids
 
 
 _held: list = [None, None]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # fixed values: the strings that stand for a missing value
 SENTINELS = ("NA", "nan", "ValueNotFound")
+#: in reaction data an empty value is missing, too
+MISSING = ("", *SENTINELS)
 
 
 def is_value(column: str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from molquarry.functions import tokens, values
 from molquarry.operators import duplicates, encoders, evolve, fingerprints, jobs, kernels, metrics, models, positions, search, select, sorting, splits
-from molquarry.session import read_table
+from molquarry.session import read_table, scratch_folder
 from molquarry.sources import catalog, rejects
 from molquarry.streaming import encode
 
@@ -568,7 +566,7 @@ def evolve_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="molquarry-stream-") if not (root := spark.sparkContext.getConf().get("spark.checkpoint.dir", None)) else f"{root}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     schema = read_table(spark, sf_dir, "events").schema
     stream = encode.read_stream(spark, f"{sf_dir}/events.parquet*", schema)
     encode.run_batches(encode.windowed_counts(stream), lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")

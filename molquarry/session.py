@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder. A cluster names it in spark.checkpoint.dir, which is never
-    replaced; only where nothing is set (a local test) is a folder made."""
+    replaced; only in local mode, where nothing is set, is a folder made."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -41,10 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="molquarry-"))
     return made
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for what a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative result through a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

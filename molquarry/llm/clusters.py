@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from molquarry.llm import compounds
 from molquarry.llm.components import components
-from molquarry.session import cut
+from molquarry.session import cut, parallelism
 
 GRAM = 3
 #: shared / union >= 1 / 3, as shared * RATIO >= the sum of both sizes
@@ -433,7 +433,8 @@ def links_between(opened: DataFrame, meet_values: int = MEET_VALUES) -> DataFram
         ends = (table["a"][0].as_py(), table["b"][0].as_py())
         return pa.table({"a": pa.array([ends[0]] if found else [], pa.int64()), "b": pa.array([ends[1]] if found else [], pa.int64()), "likeness": pa.array([found] if found else [], pa.float64())})
 
-    blocks = met.groupBy("a", "b", "i", "j").applyInArrow(run, "a bigint, b bigint, likeness double")
+    by = ["a", "b", "i", "j"]
+    blocks = met.repartition(parallelism(opened.sparkSession), *by).groupBy(*by).applyInArrow(run, "a bigint, b bigint, likeness double")
     return blocks.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
@@ -491,7 +492,8 @@ def flows(clustered: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
         ids = np.array([k for k, _ in rows], np.int64)
         return pa.table({"i": pa.array(ids[nodes], pa.int64()), "flow": pa.array(np.round(w.sum(axis=1), 9), pa.float64())})
 
-    found = sized.where(F.col("size") <= block_values).groupBy("class").applyInArrow(run, "i bigint, flow double")
+    few = sized.where(F.col("size") <= block_values).repartition(parallelism(clustered.sparkSession), "class")
+    found = few.groupBy("class").applyInArrow(run, "i bigint, flow double")
     large = sized.where(F.col("size") > block_values)
     if sizes.where(F.col("size") > block_values).limit(1).count():
         entries = settled_by_joins(cut(similarity_links(cut(large.select("id", F.col("class").cast("string").alias("field"), "value"))).where("not forest")))

@@ -69,6 +69,18 @@ WITH RECURSIVE {_records(FIELDS)}, {_classes(FIELDS, NEAR)},
 t AS (SELECT {KEYS[4]}, count(*) AS n FROM k WHERE s = 'train' GROUP BY ALL), x AS (SELECT DISTINCT {", ".join(FIELDS)}, true AS hit FROM k WHERE s = 'train')
 SELECT s AS split, sheet_name, count(*) AS records, count(n) AS overlapping, count(hit) AS exact, coalesce(sum(n), 0)::BIGINT AS pairs
 FROM (SELECT * FROM k WHERE s IN ('valid', 'test')) LEFT JOIN t USING ({KEYS[4]}) LEFT JOIN x USING ({", ".join(FIELDS)}) GROUP BY s, sheet_name
+""",
+    "p4_coverage": f"""
+WITH RECURSIVE {_records(FIELDS)}, {_classes(FIELDS, NEAR)},
+f AS (SELECT unnest([{", ".join(repr(f) for f in FIELDS)}]) AS field, unnest([{", ".join(FIELDS)}]) AS value, s FROM d),
+h AS (SELECT DISTINCT field, value, length(value) AS n FROM f WHERE s IN ('valid', 'test') AND value IS NOT NULL), t AS (SELECT DISTINCT field, value, length(value) AS m FROM f WHERE s = 'train' AND value IS NOT NULL),
+p AS (SELECT field, value, n, i, i * n // 5 AS low, (i + 1) * n // 5 - i * n // 5 AS size FROM h, range(5) x(i) WHERE n > 4),
+e AS (SELECT DISTINCT p.field, p.value, i, size FROM p JOIN t ON t.field = p.field AND abs(m - n) <= 4, range(-4, 5) y(shift)
+  WHERE abs(shift) <= i AND abs(m - n - shift) <= 4 - i AND low + shift >= 0 AND low + shift + size <= m AND substr(t.value, low + shift + 1, size) = substr(p.value, low + 1, size)),
+z AS (SELECT h.field, h.value, n, CASE WHEN t.value IS NOT NULL THEN n ELSE coalesce(c, 0) END AS c FROM h LEFT JOIN t USING (field, value) LEFT JOIN (SELECT field, value, sum(size) AS c FROM e GROUP BY field, value) USING (field, value)),
+o AS (SELECT {KEYS[4]}, count(*) AS copies FROM k WHERE s = 'train' GROUP BY ALL)
+SELECT row_id, s AS split, sheet_name, ({" + ".join(f"z{i}.c" for i in range(4))}) / ({" + ".join(f"z{i}.n" for i in range(4))}) AS coverage, coalesce(copies, 0) AS copies
+FROM (SELECT * FROM k WHERE s IN ('valid', 'test')) k LEFT JOIN o USING ({KEYS[4]}) {" ".join(f"JOIN z z{i} ON z{i}.field = '{f}' AND z{i}.value = k.{f}" for i, f in enumerate(FIELDS))}
 """,
     "p5_found": f"""
 WITH RECURSIVE {_records(FIELDS[:2])}, {_classes(FIELDS[:2], NEAR)}

@@ -2,6 +2,7 @@
 
 import pytest
 
+from molquarry.llm import neighbours
 from molquarry.llm.queries import QUERIES, SQL
 from tests.compare import both
 
@@ -11,7 +12,9 @@ COLUMNS = {
     "p3_subset": {"request_id", "field_name", "rank", "value"},
     "p4_found": {"row_id_a", "row_id_b"},
     "p4_report": {"split", "sheet_name", "records", "overlapping", "exact", "pairs"},
+    "p4_coverage": {"row_id", "split", "sheet_name", "coverage", "copies"},
     "p5_found": {"entity_row_id"},
+    "p5_linked": {"row_id", "first_row_id"},
     "p5_splits": {"row_id", "component", "assigned_split"},
     "p6_found": {"cluster_row_id", "row_id"},
     "p6_clusters": {"cluster_row_id", "size", "typical"},
@@ -34,7 +37,10 @@ def test_equals_sql(spark, tiny, name):
 
 
 def test_every_vector_counts(spark, tiny):
+    """Of these few vectors one in a hundred is asked by the query; here one in two is."""
     rows = QUERIES["p2_recall"](spark, tiny).collect()
+    assert rows and all(r["recall"] >= 0.9 for r in rows)
+    rows = neighbours.recall(spark.read.parquet(f"{tiny}/component_vectors.parquet"), every=2).collect()
     assert len(rows) == 3 and all(r["recall"] >= 0.9 for r in rows)
 
 

@@ -55,6 +55,21 @@ def pattern_counts(df: DataFrame, column: str, patterns: list[str], match: bool
     return df.withColumn(name, F.array(*(F.least(c, F.lit(1)) if match else c for c in counts)))
 
 
+def regex_counts(df: DataFrame, column: str, patterns: list[str], match: bool = False, name: str = "features") -> DataFrame:
+    """How often (or whether) each regular expression matches the text; null texts count 0."""
+    counts = [F.coalesce(F.regexp_count(F.col(column), F.lit(p)), F.lit(0)) for p in patterns]
+    return df.withColumn(name, F.array(*(F.least(c, F.lit(1)) if match else c for c in counts)))
+
+
+def looked_up(df: DataFrame, column: str, dictionary: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df with the value that a dictionary (unique key) has for a column, null where it has none. The
+    dictionary is broadcast only where it is small enough by its count."""
+    own = dictionary.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    small = own.limit(MAX_DOMAIN + 1).count() <= MAX_DOMAIN
+    out = df.join(F.broadcast(own) if small else own, F.col(column) == F.col("_key"), "left")
+    return out.withColumn(name, F.col("_value")).drop("_key", "_value")
+
+
 def hashed_fingerprint(column: str, bits: int = 64, gram: int = 3) -> Column:
     """Bits of the hashed character n-grams of a text; null and shorter texts have none. The places are
     hashed once, sorted and laid out with runs of zeros between them: linear in n-grams and bits."""

@@ -197,6 +197,8 @@ SQL: dict[str, str] = {
     "nonzero_indices_padded": f"SELECT vec_id, array_to_string(list_resize(list_filter(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> 0 THEN i END), lambda i: i IS NOT NULL), 64, -1), ',') AS places FROM {bits()}",
     "pattern_counts": "SELECT row_id, array_to_string([" + ", ".join(_replace_count(p) for p in PATTERNS) + "], ',') AS counts FROM toxicity",
     "pattern_match": "SELECT row_id, array_to_string([" + ", ".join(f"least({_replace_count(p)}, 1)" for p in PATTERNS) + "], ',') AS bits FROM toxicity",
+    "regex_pattern_counts": r"SELECT row_id, concat_ws(',', coalesce(len(regexp_extract_all(smiles, '\[[^\]]+\]')), 0), coalesce(len(regexp_extract_all(smiles, '%[0-9][0-9]')), 0), coalesce(len(regexp_extract_all(smiles, 'CCC')), 0)) AS counts FROM toxicity",
+    "dictionary_lookup": "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
     "hashed_fingerprint": f"SELECT p_partkey, {fingerprint('p_name', 64, 3)} AS bits FROM part",
     "kernel_convert": r"SELECT row_id, len(list_filter(regexp_extract_all(smiles, '\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]'), lambda t: t <> '[H]'))::INT AS atoms FROM toxicity WHERE " + VALID.format("smiles"),
     "descriptor_round": "SELECT o_orderkey, round(o_totalprice)::INT AS whole, round(o_totalprice, 1) AS tenths FROM orders",

@@ -399,6 +399,19 @@ def pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row_id", F.array_join(F.col("features").cast("array<string>"), ",").alias("bits"))
 
 
+@query
+def regex_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracket atoms, two-digit ring labels, and a chain of three carbons."""
+    coded = encoders.regex_counts(read_table(spark, sf_dir, "toxicity"), "smiles", [r"\[[^\]]+\]", r"%[0-9][0-9]", "CCC"])
+    return coded.select("row_id", F.array_join(F.col("features").cast("array<string>"), ",").alias("counts"))
+
+
+@query
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encoders.looked_up(read_table(spark, sf_dir, "customer"), "c_nationkey", read_table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "nation")
+    return coded.select("c_custkey", "nation")
+
+
 @query
 def hashed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(encoders.hashed_fingerprint("p_name", 64).cast("array<string>"), "").alias("bits"))

@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     spark.sparkContext.setCheckpointDir(made := tempfile.mkdtemp(prefix="molquarry-"))
     return made

@@ -77,21 +77,24 @@ class ExcelLoader:
 
 @dataclass
 class Hdf5Loader:
-    """A dataset of an HDF5 file, where h5py is installed."""
+    """A dataset of an HDF5 file through the data source of hdf5.py, where h5py is installed. rows is a range
+    [start, end); positions are joined by row number."""
 
     path: str
     table: str
     columns: list[str] | None = None
-    selection: list[int] | slice | None = None
+    rows: tuple[int, int] | None = None
 
     def load(self, spark: SparkSession) -> DataFrame:
-        try:
-            import h5py
-        except ImportError as missing:
-            raise ImportError("reading HDF5 needs the h5py library") from missing
-        with h5py.File(self.path, "r") as file:
-            rows = file[self.table][self.selection if self.selection is not None else slice(None)]
-        return from_numpy(spark, rows).select(*(self.columns or ["*"]))
+        from molquarry.sources.hdf5 import Hdf5Source
+
+        spark.dataSource.register(Hdf5Source)
+        reader = spark.read.format(Hdf5Source.name()).option("path", self.path).option("table", self.table)
+        if self.columns:
+            reader = reader.option("columns", ",".join(self.columns))
+        if self.rows:
+            reader = reader.option("start", self.rows[0]).option("end", self.rows[1])
+        return reader.load()
 
 
 def from_numpy(spark: SparkSession, array: np.ndarray) -> DataFrame:
@@ -128,8 +131,9 @@ class Catalog:
             self.add(name, loader.load(self.spark))
         return self
 
-    def create(self, name: str, schema: str) -> DataFrame:
-        return self.add(name, self.spark.createDataFrame([], schema))
+    def create(self, name: str, schema: str, data: list | pd.DataFrame | None = None) -> DataFrame:
+        """An empty table, or one of the given rows."""
+        return self.add(name, self.spark.createDataFrame([] if data is None else data, schema))
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         self.drop(name)

@@ -29,6 +29,8 @@ GRAM = 3
 BLOCK_ROWS = 2_000
 #: nominee lists that one task reduces, in pairs
 FAN = 8
+#: selected rows that the driver gathers before they are added to the table
+PENDING_ROWS = 4_096
 #: residual (of a unit row) below which a row counts as dependent
 TINY = 1e-6
 
@@ -120,44 +122,41 @@ def select_varied(df: DataFrame, requests: DataFrame, fields: list[str]) -> Data
     values = compounds.distinct_values(df, sorted(wanted)).select("field", "value")
     largest = values.groupBy("field").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-largest // BLOCK_ROWS))
+    shape = "field string, rank int, value string"
     selected, count, open_fields = None, dict.fromkeys(wanted, 0), set(wanted)
-    #: the last rows of each field's selection: all that the driver holds of it
+    # the driver holds the last rows of each field's selection and those that aren't in the table yet
     tail: dict[str, list[str]] = {f: [] for f in wanted}
+    pending: list[tuple[str, int, str]] = []
     while open_fields:
         # a round's span is whole once it has WIDTH rows; the rows of the last half span carry over,
         # so that the next round begins away from them
         basis = {f: features(tail[f]) for f in open_fields if tail[f]}
         left = values.where(F.col("field").isin(sorted(open_fields)))
-        left = left.join(selected.select("field", "value"), ["field", "value"], "left_anti") if selected is not None else left
+        for done in (selected, spark.createDataFrame(pending, shape) if pending else None):
+            left = left.join(done.select("field", "value"), ["field", "value"], "left_anti") if done is not None else left
         limit = min(WIDTH, max(wanted[f] - count[f] for f in open_fields))
-        won, found = _round(left, blocks, limit, basis, wanted, count)
-        again = sorted(f for f in open_fields if f not in found and f in basis)
+        won = _won(left, blocks, limit, basis)
+        again = sorted(f for f in open_fields if f not in won and f in basis)
         if again:
             # what is left of these lies in the span of the carried rows: take it without them
-            more, new = _round(left.where(F.col("field").isin(again)), blocks, limit, {}, wanted, count)
-            won, found = won.unionByName(more), found | new
-        selected = cut(won if selected is None else selected.unionByName(won))
+            won |= _won(left.where(F.col("field").isin(again)), blocks, limit, {})
         for f in sorted(open_fields):
-            n, last = found.get(f, (0, []))
-            count[f], tail[f] = count[f] + n, (tail[f] + last)[-(WIDTH // 2) :]
-            if not n or count[f] >= wanted[f]:
+            new = won.get(f, [])[: wanted[f] - count[f]]
+            pending += [(f, count[f] + i + 1, v) for i, v in enumerate(new)]
+            count[f], tail[f] = count[f] + len(new), (tail[f] + new)[-(WIDTH // 2) :]
+            if not new or count[f] >= wanted[f]:
                 open_fields.discard(f)
+        if len(pending) > PENDING_ROWS or not open_fields:
+            more = spark.createDataFrame(pending, shape)
+            selected, pending = cut(more if selected is None else selected.unionByName(more)), []
     named = spark.createDataFrame([(r[0], r[1], r[2]) for r in asked], "request_id int, field_name string, subset_size int")
     out = selected.join(F.broadcast(named), (F.col("field") == F.col("field_name")) & (F.col("rank") <= F.col("subset_size")))
     return out.select("request_id", "field_name", "rank", "value")
 
 
-def _round(left: DataFrame, blocks: int, limit: int, basis: dict[str, np.ndarray], wanted: dict[str, int], count: dict[str, int]) -> tuple[DataFrame, dict[str, tuple[int, list[str]]]]:
-    """(field, rank, value) of the winners of one tournament, and for each field their number and the last
-    of them (no more than half the feature width)."""
-    room, before = F.lit(0), F.lit(0)
-    for f in wanted:
-        room = F.when(F.col("field") == f, F.lit(wanted[f] - count[f])).otherwise(room)
-        before = F.when(F.col("field") == f, F.lit(count[f])).otherwise(before)
-    won = cut(_tournament(left, blocks, limit, basis).where(F.col("place") < room).select("field", (F.col("place") + before + 1).cast("int").alias("rank"), "value"))
-    sizes = {r["field"]: (r["n"], r["top"]) for r in won.groupBy("field").agg(F.count("*").alias("n"), F.max("rank").alias("top")).collect()}
-    keep = F.lit(False)
-    for f, (_, top) in sizes.items():
-        keep = keep | ((F.col("field") == f) & (F.col("rank") > top - WIDTH // 2))
-    last = sorted((r["field"], r["rank"], r["value"]) for r in won.where(keep).collect())
-    return won, {f: (n, [v for g, _, v in last if g == f]) for f, (n, _) in sizes.items()}
+def _won(left: DataFrame, blocks: int, limit: int, basis: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """The winners of one tournament by field, in their order: no more than the feature width of each."""
+    out: dict[str, list[str]] = {}
+    for r in sorted(_tournament(left, blocks, limit, basis).collect(), key=lambda r: (r["field"], r["place"])):
+        out.setdefault(r["field"], []).append(r["value"])
+    return out

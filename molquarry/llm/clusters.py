@@ -418,8 +418,7 @@ def links_between(opened: DataFrame, meet_values: int = MEET_VALUES) -> DataFram
     paired = opened.select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b"), (F.col("label") > F.col("other")).alias("side"), "id", "value")
     counts = paired.groupBy("a", "b").agg(F.count_if(~F.col("side")).alias("m"), F.count_if(F.col("side")).alias("n"))
     counts = cut(counts.where("m > 0 AND n > 0").select("a", "b", F.ceil(F.col("m") / meet_values).cast("int").alias("mb"), F.ceil(F.col("n") / meet_values).cast("int").alias("nb")))
-    small = counts.count() <= compounds.BROADCAST_ROWS
-    sized = paired.join(F.broadcast(counts) if small else counts, ["a", "b"])
+    sized = compounds.checked_join(paired, counts, ["a", "b"], "id")
     own = F.pmod(F.xxhash64("id", F.lit(13)), F.when(F.col("side"), F.col("nb")).otherwise(F.col("mb"))).cast("int")
     facing = F.explode(F.sequence(F.lit(0), F.when(F.col("side"), F.col("mb")).otherwise(F.col("nb")) - 1))
     met = sized.select("a", "b", "side", "id", "value", own.alias("own"), facing.alias("facing"))
@@ -468,8 +467,8 @@ def similarity_clusters(values: DataFrame, shard_values: int = SHARD_VALUES, blo
         cells = sets.select("field", "label", F.explode("grams").alias("g")).distinct().groupBy("field", "label").agg(F.collect_list("g").alias("grams"))
         sets = cells.join(sets.groupBy("label").agg(F.min("least").alias("least")), "label").select("field", "label", "grams", "least")
     opened = cut(open_values(rows.select("field", "id", "value", F.col("top").alias("label")), cut(sets), shard_values))
-    final = contract(links.unionByName(links_between(opened)), block_values).withColumnRenamed("label", "last")
-    return cut(rows.join(final, F.col("top") == F.col("node"), "left").select("field", "id", "value", "label", F.coalesce("last", "top").alias("class")))
+    final = contract(links.unionByName(links_between(opened)), block_values).select(F.col("node").alias("top"), F.col("label").alias("last"))
+    return cut(compounds.checked_join(rows, final, ["top"], "id", "left").select("field", "id", "value", "label", F.coalesce("last", "top").alias("class")))
 
 
 def _moved(links: DataFrame, tops: DataFrame) -> DataFrame:
@@ -483,7 +482,7 @@ def flows(clustered: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(i, flow): how much Markov flow of its cluster ends in a value, 0 ones left out. clustered: (field,
     id, value, class), materialised."""
     sizes = clustered.groupBy("class").agg(F.count("*").alias("size")).where("size > 1")
-    sized = clustered.join(sizes, "class").select("field", "id", "value", "class", "size")
+    sized = compounds.salted_join(clustered, sizes, ["class"], "id").select("field", "id", "value", "class", "size")
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["id"].to_pylist(), table["value"].to_pylist()))

@@ -226,6 +226,15 @@ def scanned(asked: list[str], parts: list[tuple[int, int]], texts: list[str], ed
         yield pairs(hits, owners)
 
 
+def _places(group: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its group."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+    out = np.empty(len(group), np.int64)
+    out[order] = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+    return out
+
+
 def link_forest(values: list[str], batches: Iterator[tuple[np.ndarray, np.ndarray]], edits: int = EDITS) -> list[tuple[int, int]]:
     """A spanning forest of the links among the candidate pairs (positions in values). Pairs that are
     connected by then need no test."""
@@ -248,14 +257,12 @@ def link_forest(values: list[str], batches: Iterator[tuple[np.ndarray, np.ndarra
         a, b = a[near], b[near]
         take = 1
         while len(a):
-            # one pair of each class met so far, then two, four...: most of what the first join needs no test
-            order = np.argsort(label[a], kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(label[a][order]) != 0]))
-            place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-            chosen, rest = order[place < take], order[place >= take]
+            # one pair of each class met so far, on either side, then two, four...: most of what the first
+            # join needs no test
+            chosen = (_places(label[a]) < take) | (_places(label[b]) < take)
             test(a[chosen], b[chosen])
             label = forest.labels()
-            a, b = open_pairs(a[rest], b[rest])
+            a, b = open_pairs(a[~chosen], b[~chosen])
             take *= 2
     return edges
 
@@ -284,7 +291,7 @@ def passage_links(values: DataFrame, edits: int = EDITS, shard_rows: int = SHARD
     load = routed.groupBy("field", "shard").agg(F.count_if(F.col("passage") >= 0).alias("m"), F.count_if(F.col("passage") < 0).alias("n"))
     full = cut(load.where(F.col("m").between(1, 2 * shard_rows) & (F.col("n") <= TEXT_ROWS)).select("field", "shard", F.lit(1).alias("mb"), F.lit(1).alias("nb")).unionByName(
         load.where((F.col("m") > 2 * shard_rows) | (F.col("n") > TEXT_ROWS)).where("m > 0").select("field", "shard", F.ceil(F.col("m") / shard_rows).cast("int").alias("mb"), F.ceil(F.col("n") / TEXT_ROWS).cast("int").alias("nb"))))
-    sized = routed.join(F.broadcast(full) if full.count() <= BROADCAST_ROWS else full, ["field", "shard"])
+    sized = checked_join(routed, full, ["field", "shard"], "id")
     is_text = F.col("passage") < 0
     own = F.pmod(F.xxhash64("id"), F.when(is_text, F.col("nb")).otherwise(F.col("mb"))).cast("int")
     facing = F.explode(F.sequence(F.lit(0), F.when(is_text, F.col("mb")).otherwise(F.col("nb")) - 1))
@@ -403,6 +410,12 @@ def salted_join(rows: DataFrame, table: DataFrame, by: list[str], key: str, how:
     return rows.withColumn("_salt", salt).join(copies, [*by, "_salt"], how).drop("_salt")
 
 
+def checked_join(rows: DataFrame, table: DataFrame, by: list[str], key: str, how: str = "inner") -> DataFrame:
+    """rows with the one row of a materialised table that agrees in `by`: broadcast after a count of its
+    rows, by a salted join beyond BROADCAST_ROWS."""
+    return rows.join(F.broadcast(table), by, how) if table.count() <= BROADCAST_ROWS else salted_join(rows, table, by, key, how)
+
+
 def with_classes(df: DataFrame, classes: DataFrame, fields: list[str], key: str, columns: tuple[str, ...] = ("class",), how: str = "left") -> DataFrame:
     """df (with an id column <field>_id for each field) with <field>_<column>, null for missing values.
     classes must be materialised; it is broadcast only after a count of its rows, and joined by a

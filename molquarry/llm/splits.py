@@ -138,8 +138,7 @@ def linked_records(df: DataFrame, key: str, entities: list[str], keep: list[str]
     links = held.select(F.explode(F.transform("_e", lambda x: F.struct(F.element_at(F.col("_e"), 1).alias("a"), x.alias("b")))).alias("x")).select("x.a", "x.b").distinct()
     found = cut(components(links).select(F.col("node").alias("_node"), "component"))
     first = held.select(key, *(keep or []), F.get("_e", F.lit(0)).alias("_node"))
-    small = found.count() <= compounds.BROADCAST_ROWS
-    out = first.join(F.broadcast(found), "_node", "left") if small else compounds.salted_join(first, found, ["_node"], key, "left")
+    out = compounds.checked_join(first, found, ["_node"], key, "left")
     return out.select(key, *(keep or []), F.coalesce("component", alone).alias("component"))
 
 

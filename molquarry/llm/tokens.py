@@ -334,18 +334,19 @@ class Encoder:
         return np.where(keys == 0, np.uint64(1), keys)
 
     def clashes(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The tokens that were found under the hash of a pre-token of another spelling."""
-        known = np.flatnonzero(word >= 0)
-        other = known[self.letters[word[known]] != size[known]]
-        same = known[self.letters[word[known]] == size[known]]
-        if len(same):
-            n = size[same]
-            first = np.cumsum(n) - n
-            step = np.arange(int(n.sum())) - np.repeat(first, n)
-            differs = codes[np.repeat(at[same], n) + step] != self.spelled[np.repeat(self.spelled_at[word[same]], n) + step]
-            if differs.any():
-                other = np.concatenate([other, same[np.logical_or.reduceat(differs, first)]])
-        return other
+        """The tokens that were found under the hash of a pre-token of another spelling. Tokens without a
+        number are ends of texts, of one character each."""
+        if not len(self.spelled):
+            return np.empty(0, np.int64)
+        place = np.repeat((self.spelled_at[word] - at).astype(np.int32), size)
+        place += np.arange(len(codes), dtype=np.int32)
+        differs = codes != self.spelled.take(place, mode="clip")
+        ends = word < 0
+        differs[at[ends]] = False
+        other = ~ends & (self.letters[word] != size)
+        if differs.any():
+            other |= np.logical_or.reduceat(differs, at) & ~ends
+        return np.flatnonzero(other)
 
     def block(self, texts: list[str | None], with_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """(number of tokens of each text, all ids one after the other)."""

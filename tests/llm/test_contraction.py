@@ -170,3 +170,17 @@ def test_salted_join(spark):
     one = spark.createDataFrame([(7, "hot"), (8, "cold")], "k bigint, name string")
     got = {r["id"]: r["name"] for r in compounds.salted_join(rows, one, ["k"], "id", "left").collect()}
     assert len(got) == 1000 and got[3] == "hot" and got[8] == "cold" and got[7] == "hot" and got[10] is None
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Salted joins give what broadcasts give."""
+    df = spark.createDataFrame(reactions(80, 3), SCHEMA)
+    ask = {
+        "pairs": lambda: splits.cross_split_pairs(df, FIELDS),
+        "torn": lambda: splits.torn_entities(df, FIELDS[:2]),
+        "members": lambda: clusters.cluster_members(df, FIELDS[:2]),
+    }
+    want = {n: sorted(map(tuple, f().collect())) for n, f in ask.items()}
+    monkeypatch.setattr(compounds, "BROADCAST_ROWS", -1)
+    for name, f in ask.items():
+        assert sorted(map(tuple, f().collect())) == want[name] and want[name]

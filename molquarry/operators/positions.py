@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molquarry.session import cut
 
 _PLACE = (1 << 33) - 1
-#: bits of a hash that one pass of smallest() narrows down
-_STEPS = (20, 8, 0)
+#: bits of the lower half of a hash
+_HALF = 16
+#: rows of a bucket that are ordered without a second histogram
+BUCKET_ROWS = 100_000
 
 
 def _ordered(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -69,38 +72,49 @@ class Cut:
 
 def smallest(df: DataFrame, hashes: list[Column], key: str, n: int) -> list[Cut | None]:
     """For each hash (in [0, 2^32)) the cut below which the n smallest rows lie (all where there are no
-    more), None where there are none. No sort: three histograms of at most 4,096
-    counts a hash narrow the cut down, and only rows of one hash value are ordered by key."""
+    more), None where there are none. No sort: a histogram of the upper half of each hash (at most
+    65,536 counts) says in which bucket the cut lies; the bucket's rows are ordered on their own, after a
+    second histogram by the lower half where they are more than BUCKET_ROWS."""
     if n <= 0:
         return [None] * len(hashes)
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), h.alias("h")) for i, h in enumerate(hashes))))
     flat = df.select(key, each.alias("x")).select(key, "x.i", "x.h")
-    low: dict[int, int | None] = dict.fromkeys(range(len(hashes)))
-    left = dict.fromkeys(range(len(hashes)), n)
-    before = None
-    for shift in _STEPS:
-        rows = flat
-        if before is not None:
-            mine = F.lit(False)
-            for i, at in low.items():
-                mine = mine | ((F.col("i") == i) & (F.shiftright("h", before) == at))
-            rows = flat.where(mine)
-        found: dict[int, list] = {i: [] for i in low}
-        for r in rows.groupBy("i", F.shiftright("h", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
-            found[r["i"]].append((r["b"], r["n"]))
-        for i, counts in found.items():
-            left[i] = min(left[i], sum(count for _, count in counts))
-            for b, count in sorted(counts):
-                low[i] = b
-                if count >= left[i]:
-                    break
-                left[i] -= count
-        before = shift
-    out = []
-    for i, at in low.items():
-        if at is None:
-            out.append(None)
-            continue
-        ties = flat.where((F.col("i") == i) & (F.col("h") == at)).select(key).orderBy(key).limit(left[i]).collect()
-        out.append(Cut(at, ties[-1][0]))
+    low: dict[int, int] = {}
+    left: dict[int, int] = {}
+    size: dict[int, int] = {}
+
+    def narrow(rows: DataFrame, shift: int) -> None:
+        counts = rows.groupBy("i", F.shiftright("h", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+        of, bucket, count = (counts[c].to_numpy() for c in ("i", "b", "n"))
+        for i in np.unique(of).tolist():
+            mine = np.flatnonzero(of == i)
+            mine = mine[np.argsort(bucket[mine])]
+            ends = np.cumsum(count[mine])
+            left[i] = min(left.get(i, n), int(ends[-1]))
+            at = int(np.searchsorted(ends, left[i]))
+            low[i], size[i] = int(bucket[mine[at]]), int(count[mine[at]])
+            left[i] -= int(ends[at]) - size[i]
+
+    def held(which: dict[int, int], shift: int) -> DataFrame:
+        mine = F.lit(False)
+        for i, at in which.items():
+            mine = mine | ((F.col("i") == i) & (F.shiftright("h", shift) == at))
+        return flat.where(mine)
+
+    narrow(flat, _HALF)
+    wide = {i: at for i, at in low.items() if size[i] > BUCKET_ROWS}
+    fine = {i: at for i, at in low.items() if i not in wide}
+    if wide:
+        narrow(held(wide, _HALF), 0)
+    out: list[Cut | None] = [None] * len(hashes)
+    if fine:
+        # at most BUCKET_ROWS rows a hash
+        last = held(fine, _HALF).select("i", "h", F.col(key).alias("key")).toArrow().sort_by([("i", "ascending"), ("h", "ascending"), ("key", "ascending")])
+        first = np.searchsorted(last["i"].to_numpy(), sorted(fine))
+        for i, start in zip(sorted(fine), first.tolist()):
+            row = last.slice(start + left[i] - 1, 1).to_pylist()[0]
+            out[i] = Cut(row["h"], row["key"])
+    for i in wide:
+        ties = held({i: low[i]}, 0).select(key).orderBy(key).limit(left[i]).collect()
+        out[i] = Cut(low[i], ties[-1][0])
     return out

@@ -85,11 +85,12 @@ def test_confusion_needs_all_labels(spark):
         metrics.confusion_matrix(rows, ["a", "b"])
 
 
-def test_cut_values(spark):
+def test_cut_values(spark, monkeypatch):
     """Exactly n rows at any n, with many ties of the hash, and none of an empty table."""
     rows = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7 * 600_000_000).alias("h"))
     order = [r["k"] for r in rows.orderBy("h", "k").collect()]
-    for n in (1, 70, 250, 499, 500, 900):
+    for n, bucket in ((1, 1), (70, 1), (250, 1), (250, 100_000), (499, 100_000), (500, 1), (900, 100_000)):
+        monkeypatch.setattr(positions, "BUCKET_ROWS", bucket)
         found = positions.smallest(rows, [F.col("h"), F.col("k")], "k", n)
         assert sorted(r["k"] for r in rows.where(found[0].inside(F.col("h"), "k")).collect()) == sorted(order[:n])
         assert rows.where(found[1].inside(F.col("k"), "k")).count() == min(n, 500)

@@ -86,8 +86,10 @@ class Hdf5Loader:
     rows: tuple[int, int] | None = None
 
     def load(self, spark: SparkSession) -> DataFrame:
-        from molquarry.sources.hdf5 import Hdf5Source
+        from molquarry.sources.hdf5 import Hdf5Source, open_file
 
+        with open_file(self.path):  # a missing library or file is told here, not by a worker
+            pass
         spark.dataSource.register(Hdf5Source)
         reader = spark.read.format(Hdf5Source.name()).option("path", self.path).option("table", self.table)
         if self.columns:
